@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from surveyloom.llm.decontaminate import op3_benchmark_decontamination
+from surveyloom.llm.packing import op4_best_fit_packing
 from surveyloom.llm.quality_rules import op8_quality_rules
 
 QUERIES = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 
