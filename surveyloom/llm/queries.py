@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from surveyloom.llm.compression_quality import op2_compression_quality
 from surveyloom.llm.decontaminate import op3_benchmark_decontamination
+from surveyloom.llm.language_mixture import op7_language_mixture
 from surveyloom.llm.packing import op4_best_fit_packing
+from surveyloom.llm.personal_data import op10_personal_data
 from surveyloom.llm.quality_rules import op8_quality_rules
 
 QUERIES = {
+    "op2_compression_quality": op2_compression_quality,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_language_mixture": op7_language_mixture,
     "op8_quality_rules": op8_quality_rules,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {}
