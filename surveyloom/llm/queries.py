@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from surveyloom.llm.balanced_shards import op9_balanced_shards
 from surveyloom.llm.compression_quality import op2_compression_quality
 from surveyloom.llm.decontaminate import op3_benchmark_decontamination
 from surveyloom.llm.language_mixture import op7_language_mixture
+from surveyloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from surveyloom.llm.packing import op4_best_fit_packing
 from surveyloom.llm.personal_data import op10_personal_data
 from surveyloom.llm.quality_rules import op8_quality_rules
+from surveyloom.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_compression_quality": op2_compression_quality,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_token_counts": op5_token_counts,
     "op7_language_mixture": op7_language_mixture,
     "op8_quality_rules": op8_quality_rules,
+    "op9_balanced_shards": op9_balanced_shards,
     "op10_personal_data": op10_personal_data,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+}
