@@ -7,6 +7,7 @@ from surveyloom.llm.compression_quality import op2_compression_quality
 from surveyloom.llm.decontaminate import op3_benchmark_decontamination
 from surveyloom.llm.language_mixture import op7_language_mixture
 from surveyloom.llm.line_dedup import OP1_SQL, op1_line_dedup
+from surveyloom.llm.ngram_join import op6_ngram_jaccard_join
 from surveyloom.llm.packing import op4_best_fit_packing
 from surveyloom.llm.personal_data import op10_personal_data
 from surveyloom.llm.quality_rules import op8_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_language_mixture": op7_language_mixture,
     "op8_quality_rules": op8_quality_rules,
     "op9_balanced_shards": op9_balanced_shards,
