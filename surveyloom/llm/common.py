@@ -6,10 +6,12 @@ import atexit
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +122,48 @@ def fetch_texts(docs: DataFrame, ids: dict, max_bytes: int, text_col: str = "tex
     return out
 
 
+class BitTable:
+    """One bit for each hash value: says of a number that it is not in a set, or that it may be. Its size is bounded, whatever the set's."""
+
+    def __init__(self, table: np.ndarray, bits: int):
+        self.table, self.bits = table, bits
+
+    @staticmethod
+    def of(values: DataFrame, column: str, most_bits: int = 1 << 28) -> BitTable:
+        """Of a column of integers, nulls left out; 16 bits for each row up to ``most_bits`` in all."""
+        bits = 1 << 16
+        while bits < min(most_bits, 16 * values.count()):
+            bits *= 2
+        spot = BitTable.spot(column, bits) + 1
+        segments = values.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(spot).alias("s")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("b"))
+        table = np.zeros(bits // 8, np.uint8)
+        for row in segments.collect():  # 4 KB each, ``bits`` in all
+            start = (row["s"] - 1) * 4096
+            own = np.frombuffer(bytes(row["b"]), np.uint8)[: len(table) - start]
+            table[start : start + len(own)] = own
+        return BitTable(table, bits)
+
+    @staticmethod
+    def spot(column: str, bits: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(bits))
+
+    def may_hold(self, spots: np.ndarray) -> np.ndarray:
+        return (self.table[spots >> 3] >> (spots & 7)) & 1 == 1
+
+    def flag(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with a boolean column: whether the table may hold the column's value; a null always may."""
+        handle = df.sparkSession.sparkContext.broadcast(self)
+        probe = df.withColumn(name, F.when(F.col(column).isNotNull(), self.spot(column, self.bits)).otherwise(-1))
+        names = probe.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.columns[-1].to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((at < 0) | handle.value.may_hold(np.maximum(at, 0)))], names=names)
+
+        return probe.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null text is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

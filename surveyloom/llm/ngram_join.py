@@ -310,17 +310,10 @@ def link_blocks(items: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.repartition("item").sortWithinPartitions("item").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, hot_from: int = HOT, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of ``docs``.
-
-    Words are what stands between space and U+0009 to U+000D after lower-casing A-Z; a set is the distinct runs of five, or
-    the whole of a shorter text. Two sets are linked when 100 * common >= 80 * union; component_id is the smallest id that
-    links reach. Null texts and texts without words have no set and are linked with nothing; their component is their id.
-    Rows that repeat are one class; a null id is never the smallest, and a component of null ids only has a null one. An
-    empty table gives an empty result. Columns other than id and text are not read.
-    """
+def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, hot_from: int = HOT, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(doc_id, text_key, n, comp) for each row of ``docs``: a hash of its text, the size of its set, and its component's class, null without words."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)["doc_id"]
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = frequent_ngrams(docs.select("text"), buckets, hot_from, salt_rows)
@@ -332,11 +325,11 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block:
                 sets = ngram_sets(common.text_bytes(part.column("text")), handle.value)
                 first = [s[: prefix_length(len(s))].tobytes() if len(s) else b"" for s in sets]
                 cls = [set_id(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "n", "cls", "first"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "text_key", "n", "cls", "first"])
 
-    described = docs.mapInArrow(describe, f"doc_id {id_type}, n long, cls long, first binary")
+    described = docs.mapInArrow(describe, f"doc_id {id_type}, text_key long, n long, cls long, first binary")
     described = common.materialize(described, "ngram-sets")
-    rows = described.select("doc_id", "n", "cls")
+    rows = described.select("doc_id", "text_key", "n", "cls")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "key", "salt", "cls", "n", "place"]
@@ -371,28 +364,17 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block:
     groups = common.materialize(found.groupBy("parent", "block").agg(F.max("members").alias("members")), "ngram-groups")
     listed = groups.select("parent", "block", F.explode("members").alias("cls"), F.size("members").alias("size"))
 
-    # The sets of classes that are in a group, from the least document of each: a bit table of their ids, of bounded size.
+    # The sets of classes that are in a group, from the least document of each: found by a bit table of their ids.
     wanted = common.materialize(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(listed.select("cls").distinct(), "cls"), "ngram-wanted")
-    bits = 1 << 16
-    while bits < min(MOST_BITS, 16 * wanted.count()):
-        bits *= 2
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
-    segments = wanted.where("doc_id is not null").groupBy(F.bitmap_bucket_number(spot).alias("s")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("b"))
-    table = np.zeros(bits // 8, np.uint8)
-    for row in segments.collect():  # 4 KB each, ``bits`` in all
-        start = (row["s"] - 1) * 4096
-        table[start : start + len(row["b"])] = np.frombuffer(bytes(row["b"]), np.uint8)[: len(table) - start]
-    chosen = spark.sparkContext.broadcast(table)
+    chosen = common.BitTable.of(wanted, "doc_id", MOST_BITS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("spot").to_numpy()
-            keep = batch.column("none").to_numpy(zero_copy_only=False) | ((chosen.value[at >> 3] >> (at & 7)) & 1 == 1)
-            for part in common.slices(batch.filter(pa.array(keep)), "text", SLICE_BYTES):
+            for part in common.slices(batch, "text", SLICE_BYTES):
                 sets = [s for s in ngram_sets(common.text_bytes(part.column("text")), handle.value) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "keys"])
 
-    probe = docs.select("text", F.coalesce(spot - 1, F.lit(0)).alias("spot"), F.col("doc_id").isNull().alias("none"))
+    probe = chosen.flag(docs.select("doc_id", "text"), "doc_id", "may").where("may").select("text")
     sets = common.materialize(probe.mapInArrow(gather, "cls long, keys binary"), "ngram-keys")
 
     # 1: each class once, with those that chose the same block.
@@ -433,11 +415,45 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block:
     if last.limit(1).collect():
         labels = components(edges.union(last))
 
-    placed = rows.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("doc_id", "n", F.coalesce("label", "cls").alias("comp"))
-    placed = common.materialize(placed, "ngram-placed")
+    placed = rows.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("doc_id", "text_key", "n", F.coalesce("label", "cls").alias("comp"))
+    return common.materialize(placed, "ngram-placed")
+
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **sizes: int) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of ``docs``.
+
+    Words are what stands between space and U+0009 to U+000D after lower-casing A-Z; a set is the distinct runs of five, or
+    the whole of a shorter text. Two sets are linked when 100 * common >= 80 * union; component_id is the smallest id that
+    links reach. Null texts and texts without words have no set and are linked with nothing; their component is their id.
+    Rows that repeat are one class; a null id is never the smallest, and a component of null ids only has a null one. An
+    empty table gives an empty result. Columns other than id and text are not read.
+    """
+    placed = placed_rows(docs, text_col, id_col, **sizes)
     smallest = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **sizes: int) -> DataFrame:
+    """The rows of ``docs`` that stay when of each component only the row with the least id (null last), then the least text hash, does.
+
+    Of rows that repeat one stays; rows without words all stay. Columns are those of ``docs``. Only rows whose id may be one
+    that goes, by a bit table, are joined with the ids that go; the others pass by.
+    """
+    placed = placed_rows(docs, text_col, id_col, **sizes)
+    best = placed.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"), F.count(F.lit(1)).alias("n"))
+    members = placed.join(best.where("n > 1"), "comp")
+    gone = members.where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))))
+    twice = members.where(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
+    twice = twice.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(True).alias("_stays"))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(False).alias("_stays")).distinct()
+    touched = common.materialize(gone.unionByName(twice), "ngram-gone")
+    names = docs.columns
+    flagged = common.BitTable.of(touched, "_id").flag(docs, id_col, "_may")
+    clear = flagged.where(~F.col("_may")).select(*names)
+    asked = flagged.where("_may").withColumn("_text_key", F.xxhash64(text_col))
+    joined = asked.join(touched, F.col("_id").eqNullSafe(F.col(id_col)) & (F.col("_key") == F.col("_text_key")), "left").where(F.coalesce("_stays", F.lit(True)))
+    alone = F.when(F.col("_stays").isNull(), F.monotonically_increasing_id())  # only rows that are known to repeat are made one
+    return clear.unionByName(joined.withColumn("_alone", alone).dropDuplicates([id_col, "_text_key", "_alone"]).select(*names))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))
