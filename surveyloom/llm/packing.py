@@ -7,7 +7,9 @@ sequences at which offset. Pieces get their ranks from per-task counts, so no ta
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,8 +24,10 @@ from surveyloom.llm import common
 CAPACITY = 4096
 #: Length classes of the patterns, and documents in a pattern at most.
 CLASSES, MOST_PARTS = 32, 4
-#: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+#: What a worker remembers the ids of at most: runs of letters, and what stands between white space.
+REMEMBERED_RUNS, REMEMBERED_WORDS = 1_000_000, 500_000
+#: ASCII and Latin-1 letters in composed form, then marks that the tokenizer takes as one piece of their own.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|]*)")
 
 _encoders: dict[str, Callable[[list[bytes]], list[bytes]]] = {}
 
@@ -39,18 +43,53 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for piece, i in tokenizer.get_vocab().items():
+        ends[i] = piece.endswith("</w>")
+    known: dict[bytes, bytes] = {}
+    runs: dict[bytes, bytes] = {}
+
+    def one(words: list[bytes]) -> list[bytes]:
+        found = tokenizer.encode_batch([w.decode(errors="replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def learn_runs(new: list[bytes]) -> None:
+        """A run of letters is one piece to the tokenizer, and only its last id ends a word: many are encoded as one text."""
+        for i in range(0, len(new), 200):
+            part = new[i : i + 200]
+            ids = np.array(tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(part):
+                raw, start = ids.tobytes(), 0
+                for w, stop in zip(part, (4 * cuts).tolist(), strict=True):
+                    runs[w] = raw[start:stop]
+                    start = stop
+            else:  # not a tokenizer of that kind
+                runs.update(zip(part, one(part), strict=True))
+
+    def learn(new: list[bytes]) -> None:
+        plain = [_PLAIN.fullmatch(w) for w in new]
+        parts = [(w, m[1], m[2]) for w, m in zip(new, plain, strict=True) if m]
+        if len(runs) > REMEMBERED_RUNS:
+            runs.clear()
+        learn_runs(list({run for _, run, _ in parts}.difference(runs)))
+        marks = list({mark for _, _, mark in parts if mark}.difference(known))
+        known.update(zip(marks, one(marks), strict=True))
+        for w, run, mark in parts:
+            known[w] = runs[run] + known[mark] if mark else runs[run]
+        other = [w for w, m in zip(new, plain, strict=True) if not m]
+        known.update(zip(other, one(other), strict=True))
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = list(set().union(*words) - known.keys())
-        if len(known) + len(new) > REMEMBERED:
+        # The tokenizer lower-cases; only its special tokens, matched before that, are told by case.
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        now = set().union(*words)
+        if len(known) > REMEMBERED_WORDS:  # frequent words are in any slice of text
+            kept = {w: known[w] for w in now if w in known}
             known.clear()
-            new = list(set().union(*words))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, tokenizer.encode_batch([w.decode(errors="replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            known.update(kept)
+        learn(list(now.difference(known)))
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
     _encoders[path] = encode
@@ -77,6 +116,7 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 1, ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = word_encoder(tokenizer_path(name)), TaskContext.get().partitionId()
+        gc.disable()  # what is made here has no cycles, and collections would walk all that is remembered
         made = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -237,7 +277,7 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 1, capa
     handle = docs.sparkSession.sparkContext.broadcast(((lengths << 45) + first, first, sequence, offset))  # some slots for each of ``capacity`` lengths
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = own.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = found.join(base, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = found.join(base.hint("merge"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, start, into, place = handle.value
