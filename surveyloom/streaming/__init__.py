@@ -18,7 +18,7 @@ def arriving(spark: SparkSession, folder: str, schema: StructType, files_per_tri
     ``schema`` is that of ``survey`` (``spark.read.format("survey").load(one_file).schema``).
     """
     share(spark)
-    seen = spark.readStream.format("binaryFile").option("pathGlobFilter", "*")
+    seen = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     if files_per_trigger:
         seen = seen.option("maxFilesPerTrigger", files_per_trigger)
     paths = seen.load(folder).select("path")
