@@ -111,7 +111,7 @@ def count(docs: DataFrame, name: str = "piece_bpe_32k.model", text_col: str = "t
                 n_words, n_tokens = [], []
                 for text in common.text_bytes(part.column("text")):
                     words = text.split()
-                    for w in set(words) - known.keys():
+                    for w in set(words).difference(known):
                         known[w] = automaton.count(MARK + w.decode(errors="replace"))
                     n_words.append(len(words))
                     n_tokens.append(sum(map(known.__getitem__, words)))
