@@ -148,9 +148,12 @@ _FOUND = "n_words long, spans array<struct<start: int, end: int>>, n_hit long, i
 
 
 def _scan(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
-    """``docs`` with the columns of _FOUND at its end."""
+    """``docs`` with the columns of _FOUND at its end; columns are c0, c1, ... whatever their names were."""
+    text = f"c{docs.columns.index(text)}"
+    docs = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     handle = docs.sparkSession.sparkContext.broadcast(phrases)  # at most BLOCK_BYTES of items' text
     schema = T.StructType(docs.schema.fields + T._parse_datatype_string(_FOUND).fields)
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -167,7 +170,7 @@ def _scan(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
                 new = [pa.array(counts[now], pa.int64()), pa.array(spans[now], span), pa.array(hits[now], pa.int64()), pa.array(names[now], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return common.long_rows(docs).mapInArrow(run, schema)
 
 
 def item_blocks(benchmark: DataFrame, text_col: str, id_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -192,8 +195,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_tex
     out, passes = docs, 0
     for block in item_blocks(benchmark, item_text, item_id, block_bytes):
         found = _scan(out, Phrases(block), text_col)
-        names = found.columns
-        found = found.toDF(*[f"c{i}" for i in range(len(names))])
         k = len(out.columns)
         c = [F.col(f"c{i}") for i in range(k + 4)]
         if not passes:
@@ -220,14 +221,17 @@ def _merge(df: DataFrame, text: str) -> DataFrame:
             for own, t in zip(batch.column("_hit_spans").to_pylist(), batch.column(text).to_pylist(), strict=True):
                 merged: list[dict] = []
                 words = [(m.start(), m.end()) for m in re.finditer("[0-9a-zA-Z\x80-\U0010ffff]+", t or "")] if own else []
-                marked = [any(s["start"] <= a and b <= s["end"] for s in own) for a, b in words]
-                for (a, b), m, before in zip(words, marked, [False, *marked[:-1]], strict=True):
+                starts = np.array([a for a, _ in words], np.int64)
+                marked = np.zeros(len(words), bool)
+                for span in own:
+                    marked[np.searchsorted(starts, span["start"]) : np.searchsorted(starts, span["end"])] = True
+                for (a, b), m, before in zip(words, marked.tolist(), [False, *marked.tolist()][: len(words)], strict=True):
                     if m and before:
                         merged[-1]["end"] = b
                     elif m:
                         merged.append({"start": a, "end": b})
                 spans.append(merged)
-                hits.append(sum(marked))
+                hits.append(int(marked.sum()))
             cols = dict(zip(batch.schema.names, batch.columns, strict=True))
             cols["_hit_spans"] = pa.array(spans, batch.schema.field("_hit_spans").type)
             cols["_n_hit"] = pa.array(hits, pa.int64())
