@@ -268,5 +268,25 @@ def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
         F.size("_items").cast("long").alias("n_items"),
         F.sha2(joined.cast("binary"), 256).alias("items_sha256"),
         (F.col("_n_hit") > 0).alias("contaminated"),
-        F.col("_hit_spans").alias("spans"),
     )
+
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP3_SQL = f"""
+with d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+b as (select distinct coalesce(cast(item_id as varchar), 'null') as item, {_WORDS} as w from benchmark where text is not null),
+phrases as (
+    select item, array_to_string(w[i : i + {WINDOW - 1}], ' ') as phrase, least(len(w), {WINDOW}) as n
+    from (select item, w, unnest(range(1, greatest(2, len(w) - {WINDOW - 2}))) as i from b where len(w) > 0)
+),
+sizes as (select distinct n from phrases),
+windows as (
+    select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as phrase
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)
+),
+found as (select w.doc_id, w.i, w.n, p.item from windows w join phrases p on w.phrase = p.phrase and w.n = p.n),
+hits as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from found) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from found) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits on d.doc_id = hits.doc_id left join items on d.doc_id = items.doc_id
+"""

@@ -88,14 +88,17 @@ def votes_of(code: int, n: int) -> list[int]:
     return out[::-1]
 
 
-def fit(counts: dict[int, int], n_rules: int, rounds: int = 30, strength: float = 50.0) -> tuple[float, list[tuple[float, float]]]:
+ROUNDS, STRENGTH, PRIOR, START = 30, 50.0, 0.7, (0.99, 0.5)
+
+
+def fit(counts: dict[int, int], n_rules: int, rounds: int = ROUNDS, strength: float = STRENGTH) -> tuple[float, list[tuple[float, float]]]:
     """Prior of a good document, and for each rule its accuracy on good and on bad documents, by EM over counts of vote patterns.
 
     Accuracies start at 0.99 on good documents and 0.5 on bad ones (a bad document breaks some rules, not most), and are
     held there by ``strength`` imagined votes, which also names the two classes; without votes the start is returned.
     """
-    start = (0.99, 0.5)
-    prior, accuracy = 0.7, [start] * n_rules
+    start = START
+    prior, accuracy = PRIOR, [start] * n_rules
     patterns = [(votes_of(code, n_rules), n) for code, n in sorted(counts.items())]
     for _ in range(rounds):
         total = good = 0.0
@@ -107,7 +110,7 @@ def fit(counts: dict[int, int], n_rules: int, rounds: int = 30, strength: float
                 if v != ABSTAIN:
                     s[0], s[2] = s[0] + n * p, s[2] + n * (1 - p)
                     s[1], s[3] = s[1] + n * p * (v == GOOD), s[3] + n * (1 - p) * (v == BAD)
-        prior = min(0.99, max(0.2, (good + 0.7 * strength) / (total + strength)))
+        prior = min(0.99, max(0.2, (good + PRIOR * strength) / (total + strength)))
         accuracy = [(min(0.995, max(0.6, s[1] / s[0])), min(0.995, max(0.02, s[3] / s[2]))) for s in seen]
     return prior, accuracy
 
@@ -141,5 +144,47 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     from surveyloom.llm.common import table
 
     return judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "pattern", "posterior"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def _em_sql(n_rules: int) -> str:
+    """The rounds of ``fit`` as a chain of tables: p0, q0, p1, q1, ...; parameters are pr, g0, b0, g1, b1, ..."""
+    start = f"select {PRIOR} as pr, " + ", ".join(f"{START[0]} as g{r}, {START[1]} as b{r}" for r in range(n_rules))
+    gain = " + ".join(f"case v{r} when {GOOD} then ln(g{r}) - ln(1 - b{r}) when {BAD} then ln(1 - g{r}) - ln(b{r}) else 0 end" for r in range(n_rules))
+    score = f"1 / (1 + exp(-(ln(pr) - ln(1 - pr) + {gain})))"
+    tables = [f"p0 as materialized ({start})"]
+    for k in range(ROUNDS):
+        tables.append(f"q{k} as materialized (select patterns.*, {score} as q from patterns, p{k})")
+        share = lambda w, r, hit: f"(coalesce(sum(case when v{r} = {hit} then {w} else 0 end), 0) + {STRENGTH} * {START[hit == BAD]}) / (coalesce(sum(case when v{r} <> {ABSTAIN} then {w} else 0 end), 0) + {STRENGTH})"
+        accuracy = ", ".join(f"least(0.995, greatest(0.6, {share('n * q', r, GOOD)})) as g{r}, least(0.995, greatest(0.02, {share('n * (1 - q)', r, BAD)})) as b{r}" for r in range(n_rules))
+        prior = f"least(0.99, greatest(0.2, (coalesce(sum(n * q), 0) + {PRIOR * STRENGTH}) / (coalesce(sum(n), 0) + {STRENGTH})))"
+        tables.append(f"p{k + 1} as materialized (select {prior} as pr, {accuracy} from q{k})")
+    tables.append(f"verdict as materialized (select votes.doc_id, votes.row, {score} as q from votes, p{ROUNDS})")
+    return ",\n".join(tables)
+
+
+_BASE_SQL = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
+_SPACE_SQL = "[^\\x20\\x09-\\x0D]"
+_VOTES = ", ".join(f"case when {vote} then {GOOD} when not ({vote}) then {BAD} else {ABSTAIN} end as v{r}" for r, (_, vote) in enumerate(RULES))
+_NAMES = ", ".join(f"v{r}" for r in range(len(RULES)))
+OP8_SQL = f"""
+with t as (select doc_id, row_number() over () as row, coalesce(text, '') as t from documents),
+w as (
+    select doc_id, row, t, regexp_extract_all(t, '{_SPACE_SQL}+') as w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '{_SPACE_SQL}')] as l from t
+),
+windows as (select row, i, array_to_string(w[i : i + 4], ' ') as phrase from (select row, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+often as (select row, i from (select row, i, count(*) over (partition by row, phrase) as n from windows) where n > 1),
+covered as (select row, count(distinct place) as n from (select row, unnest(range(i, i + 5)) as place from often) group by row),
+features as (
+    select doc_id, w.row, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+        cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words, len(l) as n_lines,
+        length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) as n_capitals, length(t) - length(replace(t, '!', '')) as n_exclaimed
+    from w left join covered on w.row = covered.row
+),
+votes as materialized (select doc_id, row, {_VOTES}, {_BASE_SQL} as base_failed from features),
+patterns as materialized (select {_NAMES}, count(*) as n from votes where not base_failed group by all),
+{_em_sql(len(RULES))}
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BASE_SQL} as base_failed, not ({_BASE_SQL}) and q >= 0.5 as kept
+from features f join verdict on f.row = verdict.row
+"""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from surveyloom.llm.balanced_shards import op9_balanced_shards
 from surveyloom.llm.compression_quality import op2_compression_quality
-from surveyloom.llm.decontaminate import op3_benchmark_decontamination
+from surveyloom.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from surveyloom.llm.language_mixture import op7_language_mixture
 from surveyloom.llm.line_dedup import OP1_SQL, op1_line_dedup
-from surveyloom.llm.ngram_join import op6_ngram_jaccard_join
+from surveyloom.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from surveyloom.llm.packing import op4_best_fit_packing
 from surveyloom.llm.personal_data import op10_personal_data
-from surveyloom.llm.quality_rules import op8_quality_rules
+from surveyloom.llm.quality_rules import OP8_SQL, op8_quality_rules
 from surveyloom.llm.token_counts import op5_token_counts
 
 QUERIES = {
@@ -28,4 +28,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op3_benchmark_decontamination": OP3_SQL,
+    "op6_ngram_jaccard_join": OP6_SQL,
+    "op8_quality_rules": OP8_SQL,
 }
