@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import materialize, table
+from surveyloom.llm.common import discard, materialize, table
 
 SHARDS = 8
 ROUNDS = 5
@@ -36,7 +36,7 @@ def _ranked(df: DataFrame, key: str | None, buckets: int) -> DataFrame:
 
 def _propagate(linked: DataFrame, room: list[int], shards: int, rounds: int) -> DataFrame:
     """(rid, shard) of linked rows; ``room`` is the rows that each shard may hold."""
-    key = ["k1", "k2"]
+    key, before = ["k1", "k2"], linked
     for turn in range(rounds):
         counts = linked.groupBy(*key, "shard").agg(F.count(F.lit(1)).alias("n"))
         best = counts.groupBy(*key).agg(F.max_by("shard", F.struct("n", F.xxhash64(*key, "shard"))).alias("to"))
@@ -45,7 +45,10 @@ def _propagate(linked: DataFrame, room: list[int], shards: int, rounds: int) ->
         held = [sum(n for (a, _), n in flow.items() if a == s) for s in range(shards)]
         asked = {k: n for k, n in flow.items() if k[0] != k[1]}
         if not asked:
+            discard(wish)
             break
+        discard(before)
+        before = wish
         free = [max(0, room[s] - held[s]) for s in range(shards)]
         into = [sum(n for (_, b), n in asked.items() if b == s) for s in range(shards)]
         share = F.lit(0.0)

@@ -47,22 +47,24 @@ atexit.register(_clean)
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, and survives lost executors.
 
-    The files are deleted when the driver process ends.
+    The files are deleted by ``discard``, or when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the scratch tables ``df`` reads, once nothing reads them any more."""
-    roots = set(df.inputFiles())
-    for item in list(_written):
-        if any(f.startswith(item[1].replace("file:///", "file:/").rstrip("/")) or item[1] in f for f in roots):
-            _delete(*item)
-            _written.remove(item)
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more: what was made from them is a table itself."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path and (df.sparkSession, path) in _written:
+            _written.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
 
 
 def id_remainder(column: str, modulus: int) -> Column:
@@ -148,22 +150,35 @@ class BitTable:
         return F.pmod(F.xxhash64(column), F.lit(bits))
 
     def may_hold(self, spots: np.ndarray) -> np.ndarray:
-        return (self.table[spots >> 3] >> (spots & 7)) & 1 == 1
+        at = np.maximum(spots, 0)
+        return (spots < 0) | ((self.table[at >> 3] >> (at & 7)) & 1 == 1)
+
+    def probed(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with the column's place in the table, for ``may_hold``; a null's is -1."""
+        return df.withColumn(name, F.when(F.col(column).isNotNull(), self.spot(column, self.bits)).otherwise(-1))
 
     def flag(self, df: DataFrame, column: str, name: str) -> DataFrame:
         """``df`` with a boolean column: whether the table may hold the column's value; a null always may."""
         handle = df.sparkSession.sparkContext.broadcast(self)
-        probe = df.withColumn(name, F.when(F.col(column).isNotNull(), self.spot(column, self.bits)).otherwise(-1))
+        probe = long_rows(self.probed(df, column, name))
         names = probe.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.columns[-1].to_numpy()
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((at < 0) | handle.value.may_hold(np.maximum(at, 0)))], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(handle.value.may_hold(at))], names=names)
 
         return probe.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
 
 
+def long_rows(df: DataFrame) -> DataFrame:
+    """``df``, for a map over Arrow batches of texts: batches of a tenth of Spark's default rows, unless the session has its own."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null text is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

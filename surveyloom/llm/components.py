@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import materialize
+from surveyloom.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,8 +16,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near.select(F.col("a").alias("node"), "m"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = materialize(step.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
+        before, new = labels, materialize(step.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
+        discard(before)
         if not new.where("label <> old").limit(1).collect():
+            discard(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = new
     raise RuntimeError("components did not settle")

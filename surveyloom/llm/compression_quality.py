@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
                 scores = [handle.value.score(t) for t in common.text_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    return common.long_rows(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 def op2_compression_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,18 +1,17 @@
 """N-gram Jaccard join: sets in one global order, joined in prefix trees, linked into components.
 
 A document's n-grams are ordered by one rule for all: rare before frequent (by counts over all documents' first n-grams),
-then by hash. Two sets that are similar enough share one of their first ``n - ceil(0.8 n) + 1`` n-grams, so documents that
-share such an n-gram are a group; most n-grams have one document and go nowhere. Within a group the ordered sets are a
-prefix tree: a probe walks it once, shares the overlap counted so far, and leaves subtrees whose remaining lengths can't
-reach the bound. Equal sets are one class from the start.
+then by hash. Two sets that are similar enough share one of their first ``n - ceil(0.8 n) + 1`` n-grams; most n-grams have
+one document and go nowhere. What shared ones connect is a family, and links are only within families. Equal sets are one
+class from the start.
 
-Groups are worked off in blocks of bounded size, and what is found is a star for each component, never all pairs:
+Sets are searched in prefix trees: a probe walks a tree once, shares the overlap counted so far, and leaves subtrees whose
+remaining lengths can't reach the bound, or whose sets are in its component already. What is found is a star for each
+component, never all pairs. A family of bounded size is one tree, to which each of its sets is sent once. In a larger one:
 
-1. each class in one block, that of its largest group;
-2. groups of several blocks whose classes aren't in one component yet, in other blocks;
-3. every group that still holds several components, whole; one of several blocks, as pairs of blocks.
-
-After that every group is in one component or has been searched whole, so no link between components is missed.
+1. sets with an equal least hash are searched together, in blocks of bounded size, under some hash functions;
+2. blocks of components are searched in pairs, but for two blocks of the same one. After that every two sets of a family
+   are in one component or have been compared, so no link between components is missed.
 """
 
 from __future__ import annotations
@@ -29,13 +28,17 @@ from surveyloom.llm import common, wordhash
 from surveyloom.llm.components import components
 
 WIDTH = 5
-#: n-grams that more documents than this share among their first are ordered last, the most frequent of all at the end.
-HOT, MOST_HOT = 64, 1 << 17
-#: Classes, and n-grams in all, that one task compares at once.
-BLOCK, BLOCK_NGRAMS = 128, 1 << 21
-#: Postings of one n-gram that meet in one place; of more frequent ones each salt is a block.
+#: n-grams that more documents than this share among their first are ordered last, the most frequent of all at the end;
+#: so many of them at most, then the bar is higher.
+HOT, MOST_HOT = 3, 1 << 20
+#: Counted are so many times the n-grams that are first by hash, because what is ordered last makes room for others.
+COUNTED = 2
+#: Classes of a family that is one tree, of a block of a larger one, and n-grams of the former in all.
+FAMILY, BLOCK, FAMILY_NGRAMS = 1024, 256, 1 << 21
+#: Postings of one n-gram that meet in one place; more frequent ones are dealt to several.
 SALT_ROWS = 1 << 15
-SLICE_BYTES = 2 << 20
+SEEDS = (1, 2)
+SLICE_BYTES = 1 << 20
 MOST_BITS = 1 << 28
 _TOP = np.uint64(1 << 63)
 
@@ -66,7 +69,7 @@ class Order:
         return np.where(self.hot[at] == halves, _TOP | self.rank[at], halves)
 
     def salts(self, keys: np.ndarray) -> np.ndarray:
-        """How many blocks the postings of each key are dealt to."""
+        """How many places the postings of each key are dealt to."""
         out = np.ones(len(keys), np.int64)
         frequent = keys >= _TOP
         out[frequent] = -(-self.by_rank[(keys[frequent] ^ _TOP).astype(np.int64)] // self.salt_rows)
@@ -124,13 +127,13 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[list
 
 
 def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_rows: int = SALT_ROWS) -> Order:
-    """Counts of what is first by hash alone, over all documents; the ``MOST_HOT`` most frequent come to the driver."""
+    """Counts of what is first by hash alone, and as much again, over all documents; the most frequent, ``MOST_HOT`` at most, come to the driver."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
                 sets = ngram_sets(common.text_bytes(part.column("text")))
-                keys = np.concatenate([s[: prefix_length(len(s))] for s in sets if len(s)] or [np.zeros(0, np.uint64)])
+                keys = np.concatenate([s[: COUNTED * prefix_length(len(s))] for s in sets if len(s)] or [np.zeros(0, np.uint64)])
                 rows = list(_packed((keys % np.uint64(buckets)).astype(np.int64), [keys]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([r[0] for _, r in rows], pa.binary())], names=["bucket", "keys"])
@@ -141,14 +144,25 @@ def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_row
             hot = n > hot_from
             yield pa.RecordBatch.from_arrays([pa.array(values[hot].view(np.int64)), pa.array(n[hot])], names=["key", "n"])
 
-    packed = docs.mapInArrow(first, "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
-    top = packed.mapInArrow(count, "key long, n long").orderBy(F.desc("n"), "key").limit(MOST_HOT).toArrow()
-    by = np.argsort(top["n"].to_numpy(), kind="stable")
+    packed = common.long_rows(docs).mapInArrow(first, "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = common.materialize(packed.mapInArrow(count, "key long, n long"), "ngram-counts")
+    bar, total = hot_from, 0
+    for n, tokens in sorted(counts.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.desc("n")).limit(MOST_HOT).toLocalIterator(), reverse=True):
+        total += tokens
+        if total > MOST_HOT:
+            bar = n
+            break
+    top = counts.where(F.col("n") > bar).toArrow()
+    common.discard(counts)
+    by = np.lexsort((top["key"].to_numpy(), top["n"].to_numpy()))
     return Order(top["key"].to_numpy()[by].view(np.uint64), top["n"].to_numpy()[by], salt_rows)
 
 
-def _groups(key: np.ndarray, salt: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, most: int = BLOCK) -> tuple[list, list, list[np.ndarray]]:
-    """(parent, block, classes) of each n-gram's group in a bucket; classes that no other can match by size and place are left out."""
+def _stars(key: np.ndarray, salt: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, key) edges from the least class of each n-gram's postings to the others; key is 0 where these are all of its postings.
+
+    Classes that no other can match by size and place are left out, where that is cheap to tell.
+    """
     by = np.lexsort((cls, salt, key))
     key, salt, cls, n, place = key[by], salt[by], cls[by], n[by], place[by]
     new = np.ones(len(key), bool)
@@ -156,50 +170,26 @@ def _groups(key: np.ndarray, salt: np.ndarray, cls: np.ndarray, n: np.ndarray, p
     key, salt, cls, n, place = key[new], salt[new], cls[new], n[new].astype(np.int64), place[new].astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
-    parents, blocks, members = [], [], []
     rest = n - place
-    two = start[size == 2]
+    two = start[(size == 2) & (salt[start] < 0)]
     two = two[np.minimum(rest[two], rest[two + 1]) >= needed(n[two], n[two + 1])]
-    mixed = wordhash.mix(cls.view(np.uint64))
-    parents += (mixed[two] + mixed[two + 1]).view(np.int64).tolist()
-    blocks += [0] * len(two)
-    members += list(np.column_stack([cls[two], cls[two + 1]]))
-    for a, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        s = slice(a, a + m)
-        own, sizes, left = cls[s], n[s], rest[s]
-        if m <= most:
+    a, b, k = [cls[two]], [cls[two + 1]], [np.zeros(len(two), np.int64)]
+    for i, m in zip(start.tolist(), size.tolist(), strict=True):
+        salted = bool(salt[i] >= 0)
+        if m < 3 and not salted:
+            continue
+        own = cls[i : i + m]
+        if m <= BLOCK and not salted:
+            left, sizes = rest[i : i + m], n[i : i + m]
             fits = np.minimum.outer(left, left) >= needed(sizes[:, None], sizes[None, :])
             np.fill_diagonal(fits, False)
-            alive = fits.any(axis=1)
-        else:  # the nearest size is the best chance
-            by_size = np.argsort(sizes, kind="stable")
-            near = 5 * sizes[by_size[:-1]] >= 4 * sizes[by_size[1:]]
-            alive = np.zeros(m, bool)
-            alive[by_size[:-1]] |= near
-            alive[by_size[1:]] |= near
-        own, sizes = own[alive], sizes[alive]
-        if len(own) < 2:
-            continue
-        salted = bool(salt[a] >= 0)
-        parent = int(key[a].view(np.int64)) if salted else int(wordhash.mix(own.view(np.uint64)).sum().view(np.int64))
-        first = int(salt[a]) << 20 if salted else 0
-        for k, block in enumerate(in_blocks(own, sizes, most)):
-            parents.append(parent)
-            blocks.append(first + k)
-            members.append(block)
-    return parents, blocks, members
-
-
-def in_blocks(cls: np.ndarray, sizes: np.ndarray, most: int = BLOCK) -> Iterator[np.ndarray]:
-    """Runs of at most ``most`` classes and about ``BLOCK_NGRAMS`` n-grams; classes of like size stay together."""
-    by = np.argsort(sizes, kind="stable")
-    start = total = 0
-    for i, s in enumerate(sizes[by].tolist()):
-        if i - start >= most or total and total + s > BLOCK_NGRAMS:
-            yield cls[by[start:i]]
-            start, total = i, 0
-        total += s
-    yield cls[by[start:]]
+            own = own[fits.any(axis=1)]
+        if len(own) > salted ^ 1:
+            a.append(np.full(len(own), own[0]))
+            b.append(own)
+            k.append(np.full(len(own), key[i].view(np.int64) if salted else 0))
+    edges = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b), np.concatenate(k)]), axis=0)
+    return edges[:, 0], edges[:, 1], edges[:, 2]
 
 
 class Tree:
@@ -236,26 +226,15 @@ class Tree:
 
     def links(self, component: list[int]) -> list[int]:
         """``component`` with the components of linked sets joined. Pairs that are joined already are not compared."""
-        parent = {c: c for c in component}
-
-        def find(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        own = [component[i] for i in self.order]
+        names, label = np.unique(np.array([component[i] for i in self.order], np.int64), return_inverse=True)
         for i, x in enumerate(self.sets):
             size = len(x)
             stack = [(self.root, 0)]
             while stack:
                 (before, after, low, high, least, largest, children), overlap = stack.pop()
-                if high <= i + 1:
-                    continue  # seen from the other side
-                mine = find(own[i])
-                if all(find(own[j]) == mine for j in range(max(low, i + 1), high)):
-                    continue
-                if 5 * min(size, largest) < 4 * max(size, least):
+                if high <= i + 1 or 5 * min(size, largest) < 4 * max(size, least):
+                    continue  # seen from the other side, or of no fitting size
+                if (label[max(low, i + 1) : high] == label[i]).all():
                     continue
                 bound = int(needed(size, least))
                 if after > before:
@@ -263,24 +242,27 @@ class Tree:
                     past = int(np.searchsorted(x, edge[0]))
                     if overlap + min(largest - before, size - past) < bound:
                         continue
-                    at = np.searchsorted(x[past:], edge)
-                    at[at == size - past] = 0
-                    overlap += int((x[past:][at] == edge).sum()) if size > past else 0
+                    rest = x[past:]
+                    at = np.searchsorted(rest, edge)
+                    at[at == len(rest)] = 0
+                    overlap += int((rest[at] == edge).sum()) if len(rest) else 0
                     past = int(np.searchsorted(x, edge[-1], side="right"))
                     if overlap + min(largest - after, size - past) < bound:
                         continue
                 if high - low == 1:
                     if 100 * overlap >= 80 * (size + self.sizes[low] - overlap):
-                        parent[find(own[low])] = mine
+                        label[label == label[low]] = label[i]
                 else:
                     stack += [(c, overlap) for c in children]
-        return [find(c) for c in component]
+        out = np.empty(len(label), np.int64)
+        out[self.order] = names[label]
+        return out.tolist()
 
 
-def link_blocks(items: DataFrame, sets: DataFrame) -> DataFrame:
+def link_blocks(items: DataFrame) -> DataFrame:
     """(a, b) edges: for each item, each class and the least class of its component, where the trees' search joined them.
 
-    ``items``: (item, cls, comp). ``sets``: (cls, keys).
+    ``items``: (item, cls, comp, keys).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +288,10 @@ def link_blocks(items: DataFrame, sets: DataFrame) -> DataFrame:
         edges = solve(held) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    whole = items.join(sets, "cls").select("item", "cls", "comp", "keys")
-    return whole.repartition("item").sortWithinPartitions("item").mapInArrow(run, "a long, b long")
+    return items.select("item", "cls", "comp", "keys").repartition("item").sortWithinPartitions("item").mapInArrow(run, "a long, b long")
 
 
-def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, hot_from: int = HOT, salt_rows: int = SALT_ROWS) -> DataFrame:
+def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hot_from: int = HOT, salt_rows: int = SALT_ROWS, family_size: int = FAMILY, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_key, n, comp) for each row of ``docs``: a hash of its text, the size of its set, and its component's class, null without words."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -327,8 +308,9 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 cls = [set_id(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "text_key", "n", "cls", "first"])
 
-    described = docs.mapInArrow(describe, f"doc_id {id_type}, text_key long, n long, cls long, first binary")
+    described = common.long_rows(docs).mapInArrow(describe, f"doc_id {id_type}, text_key long, n long, cls long, first binary")
     described = common.materialize(described, "ngram-sets")
+    made = [described]  # what the last table makes superfluous
     rows = described.select("doc_id", "text_key", "n", "cls")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,70 +335,82 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             cols = [pa.array([b for b, _ in packed], pa.int32()), *[pa.array([r[i] for _, r in packed], pa.binary()) for i in range(5)]]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _by_bucket(batches, [np.uint64, np.int32, np.int64, np.uint32, np.uint32]):
-            parents, blocks, members = _groups(*columns, most=block)
-            if parents:
-                yield pa.RecordBatch.from_arrays([pa.array(parents, pa.int64()), pa.array(blocks, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["parent", "block", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _stars(*columns)], names=["a", "b", "key"])
 
     posted = described.select("n", "cls", "first").mapInArrow(post, "bucket int, key binary, salt binary, cls binary, n binary, place binary")
-    found = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(group, "parent long, block long, members array<long>")
-    groups = common.materialize(found.groupBy("parent", "block").agg(F.max("members").alias("members")), "ngram-groups")
-    listed = groups.select("parent", "block", F.explode("members").alias("cls"), F.size("members").alias("size"))
+    stars = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(star, "a long, b long, key long")
+    stars = common.materialize(stars.distinct(), "ngram-stars")
+    dealt = stars.where("key <> 0 and a = b").select("key", "a")  # the roots of one n-gram's places are connected too
+    across = dealt.join(dealt.groupBy("key").agg(F.min("a").alias("root")), "key").select("root", "a")
+    family = components(stars.select("a", "b").union(across))
+
+    def placed(labels: DataFrame) -> DataFrame:
+        found = rows.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("doc_id", "text_key", "n", F.coalesce("label", "cls").alias("comp"))
+        out = common.materialize(found, "ngram-placed")
+        handle.unpersist()
+        chosen.unpersist()
+        common.discard(*made)
+        return out
 
-    # The sets of classes that are in a group, from the least document of each: found by a bit table of their ids.
-    wanted = common.materialize(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(listed.select("cls").distinct(), "cls"), "ngram-wanted")
-    chosen = common.BitTable.of(wanted, "doc_id", MOST_BITS)
+    # The sets of classes that are in a family, from the least document of each, found by a bit table of their ids.
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    wanted = common.materialize(classes.join(family.select(F.col("node").alias("cls"), F.col("label").alias("family")), "cls"), "ngram-wanted")
+    bits = common.BitTable.of(wanted, "doc_id", MOST_BITS)
+    chosen = spark.sparkContext.broadcast(bits)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(chosen.value.may_hold(batch.column("spot").to_numpy())))
             for part in common.slices(batch, "text", SLICE_BYTES):
                 sets = [s for s in ngram_sets(common.text_bytes(part.column("text")), handle.value) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "keys"])
-
-    probe = chosen.flag(docs.select("doc_id", "text"), "doc_id", "may").where("may").select("text")
-    sets = common.materialize(probe.mapInArrow(gather, "cls long, keys binary"), "ngram-keys")
-
-    # 1: each class once, with those that chose the same block.
-    choice = listed.groupBy("cls").agg(F.max_by(F.struct("parent", "block"), F.struct("size", "parent", "block")).alias("g"))
-    once = choice.select(F.xxhash64("g.parent", "g.block").alias("item"), "cls", F.col("cls").alias("comp"))
-    edges = common.materialize(link_blocks(once, sets), "ngram-edges")
+                least = [[int(wordhash.mix(s ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))).min().view(np.int64)) for seed in SEEDS] for s in sets]
+                cols = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["cls", "keys", "least"])
+
+    probe = bits.probed(docs.select("doc_id", "text"), "doc_id", "spot").select("text", "spot")
+    sets = common.materialize(common.long_rows(probe).mapInArrow(gather, "cls long, keys binary, least array<long>"), "ngram-keys")
+
+    # A small family is searched whole.
+    small = wanted.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where((F.col("m") <= family_size) & (F.col("total") <= FAMILY_NGRAMS))
+    members = wanted.select("cls", "family").join(small.select("family", F.lit(True).alias("small")), "family", "left")
+    whole = common.materialize(sets.join(members, "cls"), "ngram-families")
+    common.discard(sets)
+    made += [stars, wanted, whole]
+    edges = common.materialize(link_blocks(whole.where("small").select(F.col("family").alias("item"), "cls", F.col("cls").alias("comp"), "keys")), "ngram-edges")
+    sets = common.materialize(whole.where("small is null").dropDuplicates(["cls"]), "ngram-large")
+    made += [edges, sets]
+    large = sets.select("cls", "family")
+    if not large.limit(1).collect():
+        return placed(components(edges))
+
+    # 1: those of a larger family that share a least hash. Sets of a family stay side by side, so that what they share packs well.
+    spread = common.materialize(sets.select("family", "cls", F.posexplode("least").alias("seed", "value")), "ngram-spread")
+    counts = spread.groupBy("seed", "value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    salt = F.pmod(F.xxhash64("cls", "seed"), F.ceil(F.col("m") / block))
+    likely = spread.join(counts, ["seed", "value"]).select(F.xxhash64("seed", "value", salt).alias("item"), "family", "cls", F.col("cls").alias("comp"))
+    edges = common.materialize(edges.union(link_blocks(likely.join(sets, ["family", "cls"]))), "ngram-edges")
     labels = components(edges)
 
-    def labelled(listed: DataFrame, labels: DataFrame) -> DataFrame:
-        named = listed.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
-        return named.select("parent", "block", "cls", F.coalesce("label", "cls").alias("comp"))
-
-    def open_parents(named: DataFrame) -> DataFrame:
-        spread = named.groupBy("parent").agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.min("block").alias("b"), F.max("block").alias("e"))
-        return spread.where("l <> h").select("parent", (F.col("b") != F.col("e")).alias("many"))
-
-    # 2: groups of several blocks, in other blocks.
-    named = common.materialize(labelled(listed, labels), "ngram-named")
-    many = open_parents(named).where("many").select("parent")
-    n_blocks = named.groupBy("parent").agg(F.count(F.lit(1)).alias("m"))
-    again = named.join(many.join(n_blocks, "parent"), "parent")
-    again = again.select(F.xxhash64("parent", F.pmod(F.xxhash64("cls", F.lit(2)), F.ceil(F.col("m") / block))).alias("item"), "cls", "comp")
-    more = common.materialize(link_blocks(again, sets), "ngram-edges")
-    if more.limit(1).collect():
-        edges = common.materialize(edges.union(more), "ngram-edges")
-        labels = components(edges)
-        named = common.materialize(labelled(listed, labels), "ngram-named")
-
-    # 3: what still holds several components.
-    left = named.join(open_parents(named), "parent")
-    single = left.where("not many").select(F.xxhash64("parent", "block").alias("item"), "cls", "comp")
-    blocks = left.where("many").select("parent", "block").distinct()
-    other = blocks.select("parent", F.col("block").alias("other"))
-    pairs = blocks.join(other, "parent").where("block < other")
-    pairs = pairs.select(F.xxhash64("parent", "block", "other").alias("item"), "parent", F.explode(F.array("block", "other")).alias("block"))
-    double = left.where("many").join(pairs, ["parent", "block"]).select("item", "cls", "comp")
-    last = common.materialize(link_blocks(single.union(double), sets), "ngram-edges")
-    if last.limit(1).collect():
-        labels = components(edges.union(last))
-
-    placed = rows.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("doc_id", "text_key", "n", F.coalesce("label", "cls").alias("comp"))
-    return common.materialize(placed, "ngram-placed")
+    # 2: blocks of components in pairs. Small components share blocks, each whole in one.
+    named = large.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", "family", F.coalesce("label", "cls").alias("comp"))
+    named = common.materialize(named, "ngram-named")
+    held = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"))
+    pooled = held.where(F.col("m") < block).groupBy("family").agg(F.sum("m").alias("pool"))
+    held = held.join(pooled, "family", "left")
+    own = F.when(F.col("m") >= block, F.col("comp"))
+    named = named.join(held, ["family", "comp"])
+    place = F.when(own.isNotNull(), F.xxhash64(F.lit("own"), "comp", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / block)))).otherwise(F.xxhash64(F.lit("pool"), "family", F.pmod(F.xxhash64("comp"), F.ceil(F.col("pool") / block))))
+    named = common.materialize(named.select("cls", "family", "comp", own.alias("own"), place.alias("block")), "ngram-blocks")
+    blocks = common.materialize(named.select("family", "block", "own").distinct(), "ngram-block-list")
+    pairs = blocks.join(blocks.select("family", F.col("block").alias("other"), F.col("own").alias("other_own")), "family").where("block <= other and (own is null or other_own is null or own <> other_own)")
+    pairs = pairs.select(F.xxhash64("block", "other").alias("item"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    last = common.materialize(link_blocks(named.select("family", "cls", "comp", "block").join(pairs, "block").join(sets.select("family", "cls", "keys"), ["family", "cls"])), "ngram-edges")
+    if not last.limit(1).collect():
+        return placed(labels)
+    return placed(components(edges.union(last)))
+
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **sizes: int) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``.
@@ -457,3 +451,22 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = f"""
+with recursive d as (
+    select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) as w from documents
+),
+grams as (
+    select distinct doc_id, array_to_string(w[i : i + {WIDTH - 1}], ' ') as gram
+    from (select doc_id, w, unnest(range(1, greatest(2, len(w) - {WIDTH - 2}))) as i from d where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as n from grams a join grams b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common.n >= 80 * (x.n + y.n - common.n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select a, b from both_ways union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a),
+least_of as (select a, min(b) as m from reach group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id
+from d left join sizes on d.doc_id = sizes.doc_id left join least_of on d.doc_id = least_of.a
+"""

@@ -119,7 +119,7 @@ def count(docs: DataFrame, name: str = "piece_bpe_32k.model", text_col: str = "t
                         known.clear()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_tokens long")
+    return common.long_rows(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_tokens long")
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
