@@ -25,7 +25,7 @@ CAPACITY = 4096
 #: Length classes of the patterns, and documents in a pattern at most.
 CLASSES, MOST_PARTS = 32, 4
 #: What a worker remembers the ids of at most: runs of letters, and what stands between white space.
-REMEMBERED_RUNS, REMEMBERED_WORDS = 1_000_000, 500_000
+REMEMBERED_RUNS, REMEMBERED_WORDS = 700_000, 300_000
 #: ASCII and Latin-1 letters in composed form, then marks that the tokenizer takes as one piece of their own.
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|]*)")
 
@@ -69,16 +69,20 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
                 runs.update(zip(part, one(part), strict=True))
 
     def learn(new: list[bytes]) -> None:
-        plain = [_PLAIN.fullmatch(w) for w in new]
-        parts = [(w, m[1], m[2]) for w, m in zip(new, plain, strict=True) if m]
+        letters = [w for w in new if w.isalpha()]  # of ASCII; each is a run
+        rest = [w for w in new if not w.isalpha()]
+        plain = [_PLAIN.fullmatch(w) for w in rest]
+        tails = {m[1] for m in plain if m}
         if len(runs) > REMEMBERED_RUNS:
             runs.clear()
-        learn_runs(list({run for _, run, _ in parts}.difference(runs)))
-        marks = list({mark for _, _, mark in parts if mark}.difference(known))
+        learn_runs(list(tails.union(letters).difference(runs)))
+        known.update(zip(letters, map(runs.__getitem__, letters), strict=True))
+        marks = list({m[2] for m in plain if m and m[2]}.difference(known))
         known.update(zip(marks, one(marks), strict=True))
-        for w, run, mark in parts:
-            known[w] = runs[run] + known[mark] if mark else runs[run]
-        other = [w for w, m in zip(new, plain, strict=True) if not m]
+        for w, m in zip(rest, plain, strict=True):
+            if m:
+                known[w] = runs[m[1]] + known[m[2]] if m[2] else runs[m[1]]
+        other = [w for w, m in zip(rest, plain, strict=True) if not m]
         known.update(zip(other, one(other), strict=True))
 
     def encode(texts: list[bytes]) -> list[bytes]:
@@ -119,7 +123,7 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 1, ca
         gc.disable()  # what is made here has no cycles, and collections would walk all that is remembered
         made = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", 2 << 20):
                 rows: list[tuple] = []
                 for i, ids in enumerate(encode(common.text_bytes(part.column("text")))):
                     ids += tail
@@ -136,7 +140,7 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 1, ca
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
                 )
 
-    return docs.mapInArrow(run, _PIECES.format(dict(docs.dtypes)["doc_id"]))
+    return common.long_rows(docs).mapInArrow(run, _PIECES.format(dict(docs.dtypes)["doc_id"]))
 
 
 def patterns(classes: int = CLASSES, parts: int = MOST_PARTS) -> list[tuple[int, ...]]:
@@ -252,9 +256,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLA
             close(chosen, now)
             repeats -= now
     while length := largest(capacity):
-        now = int(left[length])
+        n, most = int(left[length]), capacity // length
         left[length] = 0
-        close([length], now)
+        if n >= most:
+            close([length] * most, n // most)
+        if n % most:
+            close([length] * (n % most), 1)
     return out, sequences
 
 
