@@ -194,6 +194,22 @@ def test_shards(spark, shards):
     assert split <= 0.25 * len(small) and (len(rows) // shards < 200 or len(where[zlib.crc32(b"hot")]) <= 3)
 
 
+def test_a_hot_group_splits_no_small_ones(spark):
+    texts = ["hot"] * 1600 + [f"group {i // 4}" for i in range(800)] + [f"pair {i // 2}" for i in range(200)] + [f"single {i}" for i in range(2200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], cases.SCHEMA)
+    got = {r["doc_id"]: r["shard"] for r in balanced_shards.shard(docs, 8).collect()}
+    assert sorted(Counter(got.values()).values()) == [600] * 8
+    where = defaultdict(set)
+    for i, t in enumerate(texts):
+        where[t].add(got[i])
+    assert all(len(where[t]) == 1 for t in where if t != "hot") and len(where["hot"]) <= 4
+    full = spark.createDataFrame([(i, f"group {i // 4}", "en", "s", 1) for i in range(800)], cases.SCHEMA)  # nothing without links to fill gaps
+    where = defaultdict(set)
+    for r in balanced_shards.shard(full, 8).collect():
+        where[r["text_crc32"]].add(r["shard"])
+    assert all(len(own) == 1 for own in where.values())
+
+
 def test_shards_of_little(spark):
     assert balanced_shards.shard(cases.empty(spark)).count() == 0
     one = spark.createDataFrame([(1, "a", "en", "s", 1)], cases.SCHEMA)
