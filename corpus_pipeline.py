@@ -31,8 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts boilerplate lines out of the texts."""
-    found = line_dedup.drop_lines(docs)
+    """Cuts boilerplate lines out of all texts but copied pages."""
+    found = line_dedup.drop_lines(docs, only_copies=True)
     return _recounted(found, docs, F.col("_n_dropped") > 0)
 
 

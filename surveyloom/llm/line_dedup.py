@@ -45,21 +45,24 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return clear.unionByName(exact.where(F.col("n") >= min_sites).select("line"))
 
 
-def drop_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, most_lost: float = MOST_LOST) -> DataFrame:
+def drop_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, most_lost: float = MOST_LOST, only_copies: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with boilerplate lines gone from the text, then ``_n_lines``, ``_n_boilerplate``, ``_n_dropped``.
 
     Lines are what stands between line feeds; one without a word is never boilerplate. A text of which boilerplate is more
-    than ``most_lost`` stays whole: it is a copied page, which near-duplicate removal settles, and dropping its lines
-    everywhere would lose it. Null texts stay null and have no lines (empty ones have one, without a word). Repeated rows
-    are treated alike. Names in ``docs`` may be any but those three and ``_t``, ``_k1``, ``_k2``, ``_places``.
+    than ``most_lost`` stays whole; with ``only_copies``, only if it is a copied page (no word would be left, or the equal text is
+    on several sites), which near-duplicate removal settles, and dropping its lines everywhere would lose it. Null texts stay null and have no lines (empty ones have one, without a word). Repeated rows
+    are treated alike. Names in ``docs`` may be any but those three and ``_t``, ``_k1``, ``_k2``, ``_places``, ``_spread``.
     """
     lines = materialize(occurrences(docs, text_col, site_col), "lines")
-    places = lines.join(boilerplate(lines, min_sites), "line").select("_k1", "_k2", "place").distinct()
-    places = materialize(places.groupBy("_k1", "_k2").agg(F.collect_list("place").alias("_places")), "line-places")
+    places = lines.join(boilerplate(lines, min_sites), "line").groupBy("_k1", "_k2", "place").agg(F.min("site").alias("a"), F.max("site").alias("z"))
+    spread = F.coalesce(F.min("a") < F.max("z"), F.lit(False)).alias("_spread")
+    places = materialize(places.groupBy("_k1", "_k2").agg(F.collect_list("place").alias("_places"), spread), "line-places")
     joined = _keyed(docs, text_col).join(places, ["_k1", "_k2"], "left")
     split = "transform(array(split(_t, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), _places), i -> ls[i]), '\\n'))[0]"
     joined = joined.withColumn("_kept", F.when(F.col("_places").isNotNull(), F.expr(split)))
     cut = F.coalesce(F.char_length("_kept") >= F.char_length("_t") * (1 - most_lost), F.lit(False))
+    if only_copies:
+        cut = cut | F.coalesce(F.expr(f"_kept rlike '{_WORD}'") & ~F.col("_spread"), F.lit(False))
     out = [F.when(cut, F.col("_kept")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     n = F.coalesce(F.size("_places"), F.lit(0)).cast("long")
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.char_length("_t") - F.char_length(F.replace("_t", F.lit("\n"), F.lit(""))) + 1).cast("long")

@@ -163,6 +163,15 @@ def test_boilerplate_lines(spark, min_sites):
     assert got == brute_lines(rows, min_sites)
 
 
+def test_only_copies_keep_their_boilerplate(spark):
+    banner = "a long banner line that stands on every site there is"
+    rows = [(i, f"{banner}\n{banner}\nown {i}", "en", f"site{i}", 1) for i in range(12)]  # mostly boilerplate, with text of its own
+    rows += [(20, banner, "en", "site1", 1), (21, f"{banner}\ntwice", "en", "site1", 1), (22, f"{banner}\ntwice", "en", "site2", 1), (23, f"{banner}\nagain", "en", "site3", 1), (24, f"{banner}\nagain", "en", None, 1)]
+    found = line_dedup.drop_lines(spark.createDataFrame(rows, cases.SCHEMA), only_copies=True)
+    got = {r["doc_id"]: (r["text"], r["_n_boilerplate"], r["_n_dropped"]) for r in found.collect()}
+    assert got == {i: (f"own {i}", 2, 2) for i in range(12)} | {20: (banner, 1, 0), 21: (rows[13][1], 1, 0), 22: (rows[13][1], 1, 0), 23: ("again", 1, 1), 24: ("again", 1, 1)}
+
+
 def test_estimates_far_from_the_bar_decide(spark):
     rows = [(i, "everywhere\nonce %d\nsome more words to keep it" % i, "en", f"site{i}", 1) for i in range(200)]
     docs = spark.createDataFrame(rows, cases.SCHEMA)
