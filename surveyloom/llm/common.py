@@ -77,19 +77,18 @@ def unit_hash(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def sample_ids(ids: DataFrame, label: str, per_label: int, id_col: str = "doc_id", max_labels: int = 256) -> dict:
-    """At most ``per_label`` ids of each label, chosen by the id's hash; labels beyond the ``max_labels`` commonest are not learned.
+def sample_ids(ids: DataFrame, label: str, per_label: int, id_col: str = "doc_id", max_labels: int | None = 256) -> dict:
+    """At most ``per_label`` ids of each label, chosen by the id's hash; labels beyond the ``max_labels`` commonest are not learned (None: all are).
 
     Counting covers every row; the bound is on what the driver gathers. Null ids and labels are not learned from.
     """
     ids = ids.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
-    counts = ids.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(max_labels).collect()
+    counts = ids.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label)
+    counts = (counts if max_labels is None else counts.limit(max_labels)).collect()
     if not counts:
         return {}
-    rate = F.lit(0.0)
-    for row in counts:
-        rate = F.when(F.col(label) == F.lit(row[0]), F.lit(1.2 * per_label / row["n"])).otherwise(rate)
-    rows = ids.where(unit_hash(id_col) < rate).select(id_col, label, unit_hash(id_col).alias("u")).distinct()
+    rates = ids.sparkSession.createDataFrame([(row[0], 1.2 * per_label / row["n"]) for row in counts], f"`{label}` {dict(ids.dtypes)[label]}, _rate double")
+    rows = ids.join(F.broadcast(rates), label).where(unit_hash(id_col) < F.col("_rate")).select(id_col, label, unit_hash(id_col).alias("u")).distinct()
     chosen: dict = {row[0]: [] for row in counts}
     for row in sorted(rows.collect(), key=lambda r: (r["u"], r[0])):
         if len(chosen[row[1]]) < per_label:
@@ -97,8 +96,8 @@ def sample_ids(ids: DataFrame, label: str, per_label: int, id_col: str = "doc_id
     return {k: v for k, v in chosen.items() if v}
 
 
-def fetch_texts(docs: DataFrame, ids: dict, max_bytes: int, text_col: str = "text", id_col: str = "doc_id") -> dict[object, list[str]]:
-    """The texts of ``sample_ids``' ids, whole, as many of each label as fit in its share of ``max_bytes``."""
+def fetch_texts(docs: DataFrame, ids: dict, max_bytes: int, text_col: str = "text", id_col: str = "doc_id", at_least_one: bool = False) -> dict[object, list[str]]:
+    """The texts of ``sample_ids``' ids, whole, as many of each label as fit in its share of ``max_bytes``; with ``at_least_one``, the shortest where none fits."""
     if not ids:
         return {}
     spark = docs.sparkSession
@@ -115,6 +114,9 @@ def fetch_texts(docs: DataFrame, ids: dict, max_bytes: int, text_col: str = "tex
             if i in sizes and sizes[i] <= left:
                 left -= sizes[i]
                 kept[i] = label
+        known = [i for i in own if i in sizes] if at_least_one else []
+        if known and not any(kept.get(i) == label for i in known):
+            kept[min(known, key=sizes.__getitem__)] = label
     if not kept:
         return {}
     listed = F.broadcast(spark.createDataFrame([(i,) for i in kept], f"{id_col} {dict(docs.dtypes)[id_col]}"))

@@ -2,10 +2,11 @@
 
 Each language has a table of byte-trigram log-probabilities; a word's likelihood is the product over its letters. A
 document is a mixture of words from some languages; proportions come from EM, and of the sets {best}, {best two}, ... the
-one with the best penalised likelihood is kept. All documents of a slice are estimated at once, in numpy.
+one with the best penalised likelihood is kept; sets grow until two sizes in a row bring no improvement. All documents of a
+slice are estimated at once, in numpy, the tables searched in blocks of ``BLOCK`` languages.
 
 The tables come from a bounded sample of rows with a known language (``PER_LANGUAGE`` documents each, ``TRAIN_BYTES`` of
-text in all, ``MAX_LANGUAGES`` languages; parameters). Every document is read whole.
+text in all, but one text of each language at least; parameters). Every language is learned, and every document is read whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from surveyloom.llm import common
 
 PER_LANGUAGE = 1500
 TRAIN_BYTES = 16 << 20
-MAX_LANGUAGES = 64
+BLOCK = 64
 BUCKETS = 1 << 16
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -52,65 +53,115 @@ class Languages:
 
     def __init__(self, texts: dict[str, list[str]], smoothing: float = 0.2):
         self.names = sorted(texts)
-        counts = np.array([np.bincount(_trigrams(_bytes(texts[n])[0])[0], minlength=BUCKETS) for n in self.names], np.float64).reshape(len(self.names), BUCKETS)
-        share = (counts.sum(axis=0) + 1) / (counts.sum() + BUCKETS)  # what no language has seen is no evidence
+        count = lambda n: np.bincount(_trigrams(_bytes(texts[n])[0])[0], minlength=BUCKETS)
+        seen = sum((count(n) for n in self.names), np.zeros(BUCKETS))
+        share = (seen + 1) / (seen.sum() + BUCKETS)  # what no language has seen is no evidence
         weight = smoothing * BUCKETS / 8
-        probability = (counts + weight * share) / (counts.sum(axis=1, keepdims=True) + weight)
-        self.table = np.log(probability).astype(np.float32).T.copy()  # a row for each bucket
+        self.table = np.empty((BUCKETS, len(self.names)), np.float32)  # a row for each bucket
+        for j, n in enumerate(self.names):
+            own = count(n)
+            self.table[:, j] = np.log((own + weight * share) / (own.sum() + weight))
 
-    def estimate(self, texts: list[str | None], most: int = 3, rounds: int = 6, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    def estimate(self, texts: list[str | None], rounds: int = 6, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
         """Proportions of the languages for each text (rows of 0 where nothing can be told), and whether it has a letter."""
+        return self._estimate(texts, rounds, penalty)[:2]
+
+    def _estimate(self, texts: list[str | None], rounds: int = 6, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``estimate``, and the mean log-probability of a trigram under the mixture (0 where nothing can be told)."""
         n, k = len(texts), len(self.names)
-        out = np.zeros((n, k))
+        out, fit = np.zeros((n, k)), np.zeros(n)
         data, begins = _bytes(texts)
         buckets, at = _trigrams(data)
         if not len(at) or not k:
-            return out, np.array([any(c.isalpha() for c in t or "") for t in texts], bool)
+            return out, np.array([any(c.isalpha() for c in t or "") for t in texts], bool), fit
         starts = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
-        words = np.add.reduceat(self.table[buckets], starts, axis=0).astype(np.float64)
         counts = np.searchsorted(at[starts], begins[1:]) - np.searchsorted(at[starts], begins[:-1])
         real = np.flatnonzero(counts)
         first = (np.cumsum(counts) - counts)[real]
         text_of = np.repeat(np.arange(len(real)), counts[real])
         total = counts[real].astype(np.float64)
-        top = words.max(axis=1, keepdims=True)
-        likelihood = np.exp(words - top)
+        spans = [slice(a, a + BLOCK) for a in range(0, k, BLOCK)]
+        cached: list[np.ndarray] = []  # with one block, words are looked up once
+
+        def words(own: slice) -> np.ndarray:
+            if cached:
+                return cached[0]
+            found = np.add.reduceat(self.table[:, own][buckets], starts, axis=0).astype(np.float64)
+            if len(spans) == 1:
+                cached.append(found)
+            return found
+
+        top = np.full((len(starts), 1), -np.inf)
+        single = np.empty((len(real), k))
+        for own in spans:
+            found = words(own)
+            top = np.maximum(top, found.max(axis=1, keepdims=True))
+            single[:, own] = np.add.reduceat(found, first, axis=0)
         ceiling = np.add.reduceat(top[:, 0], first)
-
-        def em(share: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-            for i in range(times + 1):
-                joint = share[text_of] * likelihood
-                whole = joint.sum(axis=1)
-                if i < times:
-                    share = np.add.reduceat(joint / np.maximum(whole, 1e-300)[:, None], first, axis=0) / total[:, None]
-            return share, np.add.reduceat(np.log(np.maximum(whole, 1e-300)), first) + ceiling
-
-        full, _ = em(np.full((len(real), k), 1.0 / k), rounds)
+        if cached:
+            likelihood = [np.exp(cached[0] - top)]
+        full = np.full((len(real), k), 1.0 / k)
+        for _ in range(rounds):
+            whole, joint = np.zeros(len(starts)), None
+            for own in spans:
+                joint = full[:, own][text_of] * (likelihood[0] if cached else np.exp(words(own) - top))
+                whole += joint.sum(axis=1)
+            scale, new = np.maximum(whole, 1e-300)[:, None], np.empty_like(full)
+            for own in spans:
+                if len(spans) > 1:
+                    joint = full[:, own][text_of] * np.exp(words(own) - top)
+                new[:, own] = np.add.reduceat(joint / scale, first, axis=0) / total[:, None]
+            full = new
         order = np.argsort(-full, axis=1, kind="stable")
-        single = np.add.reduceat(words, first, axis=0)
         best = np.argmax(single, axis=1)
         chosen = np.zeros((len(real), k))
         chosen[np.arange(len(real)), best] = 1
         score = single[np.arange(len(real)), best]
-        for size in range(2, min(most, k) + 1):
-            mask = np.zeros((len(real), k))
-            np.put_along_axis(mask, order[:, :size], 1.0, axis=1)
-            share = full * mask + 1e-9 * mask
-            share, likely = em(share / share.sum(axis=1, keepdims=True), rounds // 2)
-            likely = likely - penalty * (size - 1) * 0.5 * np.log(total + 1) - (size - 1)
-            better = likely > score
-            score = np.where(better, likely, score)
-            chosen[better] = share[better]
+        likely = score.copy()
+        grown = np.ones(len(real), int)  # the size that improved last
+        for size in range(2, k + 1):
+            live = np.flatnonzero(grown >= size - 2)
+            if not len(live):
+                break
+            mine = np.flatnonzero((grown >= size - 2)[text_of])
+            index = np.cumsum(grown >= size - 2)[text_of[mine]] - 1
+            head = np.cumsum(counts[real][live]) - counts[real][live]
+            langs = order[live, :size]
+            if cached:
+                near = likelihood[0][mine[:, None], langs[index]]
+            else:
+                letters_of = np.repeat(np.arange(len(starts)), np.diff([*starts, len(at)]))
+                near = np.empty((len(mine), size))
+                for j in range(size):
+                    lang = np.zeros(len(real), int)
+                    lang[live] = langs[:, j]
+                    near[:, j] = np.add.reduceat(self.table[buckets, lang[text_of[letters_of]]], starts)[mine]
+                near = np.exp(near - top[mine])
+            share = np.take_along_axis(full[live], langs, axis=1) + 1e-9
+            share /= share.sum(axis=1, keepdims=True)
+            for i in range(rounds // 2 + 1):
+                joint = share[index] * near
+                whole = np.maximum(joint.sum(axis=1), 1e-300)
+                if i < rounds // 2:
+                    share = np.add.reduceat(joint / whole[:, None], head, axis=0) / total[live][:, None]
+            found = np.add.reduceat(np.log(whole), head) + ceiling[live]
+            penalised = found - penalty * (size - 1) * 0.5 * np.log(total[live] + 1) - (size - 1)
+            better = penalised > score[live]
+            took = live[better]
+            score[took], likely[took], grown[took] = penalised[better], found[better], size
+            chosen[took] = 0
+            chosen[took[:, None], langs[better]] = share[better]
         out[real] = chosen
+        fit[real] = likely / np.add.reduceat(np.diff([*starts, len(at)]), first)
         letters = np.zeros(n, bool)
         letters[real] = True
         for i in real[np.array([not t.isascii() for t in (texts[j] for j in real)], bool)].tolist():  # a non-ASCII character need not be a letter
             letters[i] = any(c.isalpha() for c in texts[i])
-        return out, letters
+        return out, letters, fit
 
-    def name(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[dict]]]:
-        """Language, its proportion, and the chosen set with proportions, for each text."""
-        shares, letters = self.estimate(texts)
+    def name(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[dict]], list[float]]:
+        """Language, its proportion, the chosen set with proportions, and the mean log-probability of a trigram, for each text."""
+        shares, letters, fit = self._estimate(texts)
         best = shares.argmax(axis=1) if len(self.names) else np.zeros(len(texts), int)
         names, scores, sets = [], [], []
         for row, b, ok in zip(shares, best, letters, strict=True):
@@ -122,31 +173,32 @@ class Languages:
                 names.append(self.names[b])
                 scores.append(float(min(1.0, row[b])))
                 sets.append([{"lang": self.names[j], "share": float(row[j])} for j in np.argsort(-row, kind="stable") if row[j] > 0])
-        return names, scores, sets
+        return names, scores, sets, fit.tolist()
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, train_bytes: int = TRAIN_BYTES) -> Languages:
     """From rows with an id, a text and a language; which of them are in the sample depends on their ids alone."""
-    ids = common.sample_ids(docs.where(F.col(text_col).isNotNull()).select(id_col, lang_col), lang_col, per_language, id_col, MAX_LANGUAGES)
-    return Languages(common.fetch_texts(docs, ids, train_bytes, text_col, id_col))
+    ids = common.sample_ids(docs.where(F.col(text_col).isNotNull()).select(id_col, lang_col), lang_col, per_language, id_col, None)
+    return Languages(common.fetch_texts(docs, ids, train_bytes, text_col, id_col, True))
 
 
-def identify(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, then ``_lang``, ``_lang_score`` and ``_lang_set``.
+def identify(docs: DataFrame, model: Languages, text_col: str = "text", fit_col: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, then ``_lang``, ``_lang_score`` and ``_lang_set``, and the mixture's fit as ``fit_col``.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if no language was learned. Rows that
     repeat are told alike; names in ``docs`` may be any but those three.
     """
-    handle = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of MAX_LANGUAGES numbers at most
-    extra = T._parse_datatype_string("_lang string, _lang_score double, _lang_set array<struct<lang: string, share: double>>")
+    handle = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a number for each language
+    extra = T._parse_datatype_string("_lang string, _lang_score double, _lang_set array<struct<lang: string, share: double>>" + (f", `{fit_col}` double" if fit_col else ""))
     schema = T.StructType(docs.schema.fields + extra.fields)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, text_col, SLICE_BYTES):
-                names, scores, sets = handle.value.name(part.column(text_col).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, kind)], names=schema.names)
+                names, scores, sets, fit = handle.value.name(part.column(text_col).to_pylist())
+                extra = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, kind), pa.array(fit, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra[: None if fit_col else 3]], names=schema.names)
 
     return common.long_rows(docs).mapInArrow(run, schema)
 

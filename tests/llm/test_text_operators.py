@@ -278,6 +278,32 @@ def test_language_mixture(spark):
     assert language_mixture.identify(cases.empty(spark), model).count() == 0
 
 
+def many_languages(n):
+    """Texts of ``n`` languages that share no letter: each has three Chinese characters of its own."""
+    rng = random.Random(3)
+    own = {f"l{i:02}": [chr(0x4E00 + 3 * i + j) for j in range(3)] for i in range(n)}
+    return lambda lang, size: " ".join("".join(rng.choice(own[lang]) for _ in range(4)) for _ in range(size)), sorted(own)
+
+
+def test_every_language_is_learned(spark):
+    make, names = many_languages(70)
+    rows = [(10 * i + j, make(lang, 30), lang, "s", 1) for i, lang in enumerate(names) for j in range(3 if i < 69 else 2)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    model = language_mixture.train(docs, train_bytes=1000)  # less than a text for each
+    assert model.names == names
+    texts = [make(lang, 20) for lang in names]
+    assert model.name(texts)[0] == names
+    evenly = model.name([" ".join(make(lang, 20) for lang in names[:5])])[2][0]
+    assert {x["lang"] for x in evenly} == set(names[:5]) and all(0.15 < x["share"] < 0.25 for x in evenly)
+
+
+def test_mixtures_of_any_size():
+    make, names = many_languages(6)
+    model = language_mixture.Languages({n: [make(n, 200)] for n in names})
+    found = model.name([" ".join(make(n, 40) for n in names[:size]) for size in range(1, 7)])[2]
+    assert [{x["lang"] for x in own} for own in found] == [set(names[:size]) for size in range(1, 7)]
+
+
 def test_em_raises_the_likelihood():
     model = language_mixture.Languages({"aa": ["ab ab abab"], "bb": ["cd cdcd cd"]})
     share, letters = model.estimate(["ab ab ab cd", "", None, "12", "ab"])
