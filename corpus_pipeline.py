@@ -5,13 +5,15 @@ Every stage takes all that the one before it kept, and returns the columns of ``
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm import common, decontaminate, language_mixture, line_dedup, ngram_join, packing
 
-#: A text is of no language if none holds this share of its words.
-LEAST_SHARE = 0.4
+#: A text is of no language if trigrams drawn evenly fit it better than the mixture of languages does: mean log-probability of a trigram.
+LEAST_FIT = -math.log(language_mixture.BUCKETS)
 
 #: SQL has no tokenizer, no EM and no components by similarity.
 ORACLE_SQL = None
@@ -25,9 +27,9 @@ def _recounted(out: DataFrame, docs: DataFrame, changed) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those of which no language holds ``LEAST_SHARE``."""
-    found = language_mixture.identify(docs, language_mixture.train(docs.select("doc_id", "text", "lang")))
-    return found.where((F.col("_lang") != language_mixture.UNKNOWN) & (F.col("_lang_score") >= LEAST_SHARE)).select(*docs.columns)
+    """Drops documents without a letter, and those that no mixture of languages fits."""
+    found = language_mixture.identify(docs, language_mixture.train(docs.select("doc_id", "text", "lang")), fit_col="_fit")
+    return found.where((F.col("_lang") != language_mixture.UNKNOWN) & (F.col("_fit") >= LEAST_FIT)).select(*docs.columns)
 
 
 def line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

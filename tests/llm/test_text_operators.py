@@ -304,6 +304,16 @@ def test_mixtures_of_any_size():
     assert [{x["lang"] for x in own} for own in found] == [set(names[:size]) for size in range(1, 7)]
 
 
+def test_pipeline_keeps_mixtures(spark, tmp_path):
+    import corpus_pipeline
+
+    make, names = many_languages(3)
+    rows = [(10 * i + j, make(n, 200), n, "s", 1) for i, n in enumerate(names) for j in range(5)]
+    rows += [(100, " ".join(make(n, 40) for n in names), None, "s", 1), (101, "zqxj vkwq jjxz " * 20, None, "s", 1), (102, "123", None, "s", 1)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, cases.SCHEMA), str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {101, 102}
+
+
 def test_em_raises_the_likelihood():
     model = language_mixture.Languages({"aa": ["ab ab abab"], "bb": ["cd cdcd cd"]})
     share, letters = model.estimate(["ab ab ab cd", "", None, "12", "ab"])
