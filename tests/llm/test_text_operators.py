@@ -386,6 +386,15 @@ def test_personal_data(spark):
     assert none.spans(more[0][1])[1] == brute_spans(more[0][1]) and personal_data.find(cases.empty(spark), model).count() == 0
 
 
+def test_numbers_beside_others_are_proposed_alone():
+    found = lambda t: {(k, t[a:b]) for k, a, b in personal_data.proposals(t)}
+    assert ("phone", "555-123-4567") in found("room 12 555-123-4567") & found("2024-01-15 555-123-4567") & found("(12) 555-123-4567 99")
+    assert ("card", "4111.1111.1111.1111") in found("order 1234 4111.1111.1111.1111") & found("4111.1111.1111.1111 12/27")
+    assert ("phone", "+1 (555) 123-4567") in found("7 +1 (555) 123-4567") and ("ip", "10[.]1[.]2[.]3") in found("4,10[.]1[.]2[.]3")
+    assert ("email", "ab@c.com") in found("ab@c.com. Next one") and ("email", "ab (at) c (dot) com") in found("ab (at) c (dot) com")
+    assert len(personal_data.proposals("1 " * 20_000)) < 20_000 * 17 and personal_data.proposals("7" * 300_000) == []
+
+
 def test_boosting_learns_a_rule():
     from surveyloom.llm.boosting import Boosted
 
