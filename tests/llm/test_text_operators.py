@@ -395,6 +395,17 @@ def test_numbers_beside_others_are_proposed_alone():
     assert len(personal_data.proposals("1 " * 20_000)) < 20_000 * 17 and personal_data.proposals("7" * 300_000) == []
 
 
+def test_thresholds_are_calibrated():
+    rng = random.Random(21)
+    rows = [e for t in people(rng, 400) for e in personal_data._examples(t)]
+    model = personal_data.Model(rows)
+    assert max(model.least.values()) <= 1.0 and model.least["phone"] < 0.95
+    for t, want in [("k1 k2 room 12 555-123-4567 k3 k4", "555-123-4567"), ("k1 at 2024-01-15 555-123-4567 k3 k4", "555-123-4567")]:
+        assert [(k, t[a:b]) for k, a, b in model.spans(t)[1]] == [("phone", want)]
+    few = personal_data.Model([r for r in rows if r[0] != "ip"] + [r for r in rows if r[0] == "ip"][:12])  # a kind that is rare
+    assert all(v <= 1.0 for v in few.least.values())
+
+
 def test_boosting_learns_a_rule():
     from surveyloom.llm.boosting import Boosted
 
