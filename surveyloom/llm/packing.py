@@ -7,11 +7,8 @@ sequences at which offset. Pieces get their ranks from per-task counts, so no ta
 
 from __future__ import annotations
 
-import gc
-import os
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,84 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.llm import common
+from surveyloom.llm.word_encoder import word_encoder
 
 CAPACITY = 4096
-#: Length classes of the patterns, and documents in a pattern at most.
-CLASSES, MOST_PARTS = 32, 4
-#: What a worker remembers the ids of at most: runs of letters, and what stands between white space.
-REMEMBERED_RUNS, REMEMBERED_WORDS = 700_000, 300_000
-#: ASCII and Latin-1 letters in composed form, then marks that the tokenizer takes as one piece of their own.
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|]*)")
-
-_encoders: dict[str, Callable[[list[bytes]], list[bytes]]] = {}
-
-
-def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Ids of each text, as little-endian 32-bit numbers, by the tokenizer file at ``path``.
-
-    For tokenizers that split at white space and drop it (``word_bpe_49k.json``): ids of what stands between ASCII white
-    space do not depend on what stands around, so they are made once for each distinct one.
-    """
-    if path in _encoders:
-        return _encoders[path]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    ends = np.zeros(tokenizer.get_vocab_size(), bool)
-    for piece, i in tokenizer.get_vocab().items():
-        ends[i] = piece.endswith("</w>")
-    known: dict[bytes, bytes] = {}
-    runs: dict[bytes, bytes] = {}
-
-    def one(words: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch([w.decode(errors="replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def learn_runs(new: list[bytes]) -> None:
-        """A run of letters is one piece to the tokenizer, and only its last id ends a word: many are encoded as one text."""
-        for i in range(0, len(new), 200):
-            part = new[i : i + 200]
-            ids = np.array(tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) == len(part):
-                raw, start = ids.tobytes(), 0
-                for w, stop in zip(part, (4 * cuts).tolist(), strict=True):
-                    runs[w] = raw[start:stop]
-                    start = stop
-            else:  # not a tokenizer of that kind
-                runs.update(zip(part, one(part), strict=True))
-
-    def learn(new: list[bytes]) -> None:
-        letters = [w for w in new if w.isalpha()]  # of ASCII; each is a run
-        rest = [w for w in new if not w.isalpha()]
-        plain = [_PLAIN.fullmatch(w) for w in rest]
-        tails = {m[1] for m in plain if m}
-        if len(runs) > REMEMBERED_RUNS:
-            runs.clear()
-        learn_runs(list(tails.union(letters).difference(runs)))
-        known.update(zip(letters, map(runs.__getitem__, letters), strict=True))
-        marks = list({m[2] for m in plain if m and m[2]}.difference(known))
-        known.update(zip(marks, one(marks), strict=True))
-        for w, m in zip(rest, plain, strict=True):
-            if m:
-                known[w] = runs[m[1]] + known[m[2]] if m[2] else runs[m[1]]
-        other = [w for w, m in zip(rest, plain, strict=True) if not m]
-        known.update(zip(other, one(other), strict=True))
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        # The tokenizer lower-cases; only its special tokens, matched before that, are told by case.
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        now = set().union(*words)
-        if len(known) > REMEMBERED_WORDS:  # frequent words are in any slice of text
-            kept = {w: known[w] for w in now if w in known}
-            known.clear()
-            known.update(kept)
-        learn(list(now.difference(known)))
-        return [b"".join(map(known.__getitem__, w)) for w in words]
-
-    _encoders[path] = encode
-    return encode
+#: Length classes of the patterns, documents in a pattern at most, and how often what is left is fitted again at most.
+CLASSES, MOST_PARTS, FITS = 32, 6, 8
+#: Share of the shorter classes' pieces that patterns leave for the room that is left in sequences.
+RESERVE = 0.05
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -119,18 +45,17 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 1, ca
     id_type = pa.int64() if dict(docs.dtypes)["doc_id"] == "bigint" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = word_encoder(tokenizer_path(name)), TaskContext.get().partitionId()
-        gc.disable()  # what is made here has no cycles, and collections would walk all that is remembered
+        encode, task = word_encoder(tokenizer_path(name)).encode, TaskContext.get().partitionId()
         made = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in common.slices(batch, "text", 2 << 20):
                 rows: list[tuple] = []
                 for i, ids in enumerate(encode(common.text_bytes(part.column("text")))):
-                    ids += tail
-                    n = len(ids) // 4
+                    n = len(ids) + 1
                     for k, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)
-                        rows.append((i, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, int(made[length])))
+                        crc = zlib.crc32(ids[start : start + length])
+                        rows.append((i, k, start, length, zlib.crc32(tail, crc) if start + length == n else crc, task, int(made[length])))
                         made[length] += 1
                 at, *cols = zip(*rows, strict=True)
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
@@ -143,20 +68,20 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 1, ca
     return common.long_rows(docs).mapInArrow(run, _PIECES.format(dict(docs.dtypes)["doc_id"]))
 
 
-def patterns(classes: int = CLASSES, parts: int = MOST_PARTS) -> list[tuple[int, ...]]:
-    """All ways to fill ``classes`` units with ``parts`` classes at most, larger first."""
+def patterns(means: list[float], slack: float, capacity: int = CAPACITY, parts: int = MOST_PARTS) -> list[tuple[int, ...]]:
+    """All ways to fill the capacity, give or take ``slack``, with ``parts`` classes at most, larger first; ``means`` ascend."""
 
-    def grow(left: int, most: int, n: int) -> Iterator[tuple[int, ...]]:
-        if left == 0:
+    def grow(left: float, most: int, n: int) -> Iterator[tuple[int, ...]]:
+        if abs(left) <= slack:
             yield ()
-        elif n:
-            for first in range(min(left, most), 0, -1):
-                if first * n < left:
-                    return
-                for rest in grow(left - first, first, n - 1):
-                    yield (first, *rest)
+        for c in range(most if n else -1, -1, -1):
+            if means[c] * n < left - slack:
+                return
+            if means[c] <= left + slack:
+                for rest in grow(left - means[c], c, n - 1):
+                    yield (c, *rest)
 
-    return list(grow(classes, classes, parts))
+    return [way for way in grow(float(capacity), len(means) - 1, parts) if way]
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -188,81 +113,144 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, parts: int = MOST_PARTS) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(length, first rank, ranks, first sequence, offset) for all pieces, and the number of sequences.
+class Plan:
+    """``slots``: (length, first rank, ranks, first sequence, offset) for all pieces; ``sequences``: their number.
 
-    Least squares gives the patterns' repeat counts, rounded down. Each is then filled with real lengths, longest of the
-    class first, and what room is left takes the longest that fits; what the patterns leave over is packed the same way.
+    Length classes are told by their mean. Least squares fits the patterns' repeat counts to the histogram, and they are
+    rounded down to what is there. Each pattern is filled with real lengths: the commonest of its classes, and for the last two
+    the pair that fills the sequence best. What is left is fitted again, until no pattern is placed; then room in open
+    sequences takes the longest pieces that fit, and what is still left is packed longest first.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        left[length] = n
-    used = np.zeros(capacity + 1, np.int64)
-    out: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-    unit = -(-capacity // classes)
-
-    def largest(most: int, least: int = 1) -> int:
-        found = np.flatnonzero(left[least : most + 1]) if most >= least else ()
-        return int(found[-1]) + least if len(found) else 0
-
-    def close(chosen: list[int], repeats: int) -> None:
+
+    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, parts: int = MOST_PARTS):
+        self.capacity, self.parts = capacity, parts
+        self.left = np.zeros(capacity + 1, np.int64)
+        for length, n in histogram.items():
+            self.left[length] = n
+        self.used = np.zeros(capacity + 1, np.int64)
+        self.slots: list[tuple[int, int, int, int, int]] = []
+        self.sequences = self.in_patterns = 0
+        unit = -(-capacity // classes)
+        self.classes = [(a, min(a + unit, capacity + 1)) for a in range(1, capacity + 1, unit)]
+        self.slack = unit / 2
+        reserve = np.array([RESERVE if c < len(self.classes) // 4 else 0.0 for c in range(len(self.classes))])
+        self.kept = np.ceil(reserve * self._heights()).astype(np.int64)
+        opened: list[tuple[list[int], int]] = []
+        for _ in range(FITS):
+            new = self._place()
+            opened += new
+            if not new:
+                break
+        self.in_patterns = sum(len(chosen) * n for chosen, n in opened)
+        for chosen, n in sorted(opened, key=lambda o: sum(o[0])):
+            self._close(chosen, n)
+        while length := self._longest(capacity):
+            n, most = int(self.left[length]), capacity // length
+            self.left[length] = 0
+            if n >= most:
+                self._close([length] * most, n // most)
+            if n % most:
+                self._close([length] * (n % most), 1)
+
+    def _heights(self) -> np.ndarray:
+        return np.array([self.left[a:b].sum() for a, b in self.classes])
+
+    def _longest(self, most: int) -> int:
+        found = np.flatnonzero(self.left[1 : most + 1])
+        return int(found[-1]) + 1 if len(found) else 0
+
+    def _close(self, chosen: list[int], repeats: int) -> None:
         """``repeats`` sequences that begin with the chosen lengths, whose pieces are taken already."""
-        nonlocal sequences
-        room = capacity - sum(chosen)
-        while length := largest(room):
-            if left[length] < repeats:  # the first of them get one each, the others go on without
-                some = int(left[length])
-                left[length] = 0
-                close([*chosen, length], some)
+        room = self.capacity - sum(chosen)
+        while length := self._longest(room):
+            if self.left[length] < repeats:  # the first of them get one each, the others go on without
+                some = int(self.left[length])
+                self.left[length] = 0
+                self._close([*chosen, length], some)
                 repeats -= some
             else:
-                each = min(room // length, int(left[length]) // repeats)
-                left[length] -= each * repeats
+                each = min(room // length, int(self.left[length]) // repeats)
+                self.left[length] -= each * repeats
                 chosen = [*chosen, *[length] * each]
                 room -= each * length
         place = 0
         for length in chosen:
-            out.append((length, int(used[length]), repeats, sequences, place))
-            used[length] += repeats
+            self.slots.append((length, int(self.used[length]), repeats, self.sequences, place))
+            self.used[length] += repeats
             place += length
-        sequences += repeats
-
-    ways = patterns(classes, parts)
-    matrix = np.zeros((classes, len(ways)))
-    for j, way in enumerate(ways):
-        for c in way:
-            matrix[c - 1, j] += 1
-    heights = np.zeros(classes)
-    np.add.at(heights, (np.flatnonzero(left) + unit - 1) // unit - 1, left[np.flatnonzero(left)])
-    counts = np.floor(nnls(matrix, heights) + 1e-6).astype(np.int64)
-    for j in sorted(np.flatnonzero(counts), key=lambda j: (len(ways[j]), ways[j])):
-        repeats = int(counts[j])
-        while repeats:
-            chosen, now = [], repeats
-            for c in ways[j]:
-                length = largest(min(c * unit, capacity), (c - 1) * unit + 1)
-                if not length:
-                    break
-                chosen.append(length)
-            if len(chosen) < len(ways[j]):
-                break
-            for length in set(chosen):
-                now = min(now, int(left[length]) // chosen.count(length))
-            if not now:  # one piece of a length that the pattern takes twice
-                chosen, now = chosen[:1], 1
-            for length in chosen:
-                left[length] -= now
-            close(chosen, now)
-            repeats -= now
-    while length := largest(capacity):
-        n, most = int(left[length]), capacity // length
-        left[length] = 0
-        if n >= most:
-            close([length] * most, n // most)
-        if n % most:
-            close([length] * (n % most), 1)
-    return out, sequences
+        self.sequences += repeats
+
+    def _place(self) -> list[tuple[list[int], int]]:
+        """One fit of patterns to what is left: the lengths chosen for each, and how often."""
+        supply = np.maximum(0, self._heights() - self.kept)
+        weights = [self.left[a:b] @ np.arange(a, b) for a, b in self.classes]
+        means = [w / n if n else 0.0 for w, n in zip(weights, self._heights().tolist(), strict=True)]
+        own = [c for c, m in enumerate(means) if m]
+        ways = [tuple(own[c] for c in way) for way in patterns([means[c] for c in own], self.slack, self.capacity, self.parts)]
+        if not ways:
+            return []
+        takes = np.zeros((len(means), len(ways)), np.int64)
+        for j, way in enumerate(ways):
+            np.add.at(takes[:, j], list(way), 1)
+        long = np.array(means) / self.capacity  # a long piece that is left over costs more
+        wanted = nnls(takes * long[:, None], supply * long)
+        out = []
+        for j in sorted(np.flatnonzero(wanted > 0), key=lambda j: ways[j], reverse=True):
+            need = takes[:, j]
+            repeats = int(min(wanted[j] + 1e-6, (supply[need > 0] // need[need > 0]).min()))
+            supply -= repeats * need
+            while repeats and (chosen := self._lengths(ways[j])):
+                now = min(repeats, *(int(self.left[x]) // chosen.count(x) for x in chosen))
+                for x in chosen:
+                    self.left[x] -= now
+                out.append((chosen, now))
+                repeats -= now
+        return out
+
+    def _lengths(self, way: tuple[int, ...]) -> list[int]:
+        """Lengths of the pattern's classes that fit together; none if there are none left."""
+        chosen: list[int] = []
+        room = self.capacity
+
+        def there(c: int) -> np.ndarray:
+            a, b = self.classes[c]
+            own = self.left[a:b].copy()
+            for x in chosen:
+                if a <= x < b:
+                    own[x - a] -= 1
+            return own
+
+        for i, c in enumerate(way[:-2]):
+            own = there(c)
+            least = sum(self.classes[d][0] for d in way[i + 1 :])
+            own = own[: max(0, room - least - self.classes[c][0] + 1)]
+            if not len(own) or own.max() <= 0:
+                return []
+            chosen.append(self.classes[c][0] + int(own.argmax()))
+            room -= chosen[-1]
+        first = there(way[-2]) if len(way) > 1 else np.array([1])
+        second = there(way[-1])
+        a = self.classes[way[-2]][0] + np.flatnonzero(first > 0) if len(way) > 1 else np.zeros(1, np.int64)
+        b = self.classes[way[-1]][0] + np.flatnonzero(second > 0)
+        if not len(a) or not len(b):
+            return []
+        at = np.searchsorted(b, room - a, side="right") - 1
+        if len(way) > 1 and way[-2] == way[-1]:  # the one piece of a length isn't taken twice
+            at = np.where((at >= 0) & (b[at] == a) & (second[b[at] - self.classes[way[-1]][0]] < 2), at - 1, at)
+        total = np.where(at >= 0, a + b[at], -1)
+        best = np.flatnonzero(total == total.max())
+        if total.max() < 0:
+            return []
+        spare = second[b[at[best]] - self.classes[way[-1]][0]]
+        if len(way) > 1:
+            spare = np.minimum(spare, first[a[best] - self.classes[way[-2]][0]])
+        k = best[spare.argmax()]  # of equally good pairs, the one that repeats most
+        return [*chosen, *([int(a[k])] if len(way) > 1 else []), int(b[at[k]])]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, parts: int = MOST_PARTS) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    made = Plan(histogram, capacity, classes, parts)
+    return made.slots, made.sequences
 
 
 def pack(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -275,8 +263,7 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 1, capa
     # A table of tasks by lengths: ``capacity`` rows at most for each task.
     own = common.materialize(found.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r[0]: r[1] for r in own.groupBy("length").agg(F.sum("n")).collect()}
-    slots, _ = plan(histogram, capacity)
-    order = sorted(slots)
+    order = sorted(plan(histogram, capacity)[0])
     lengths = np.array([s[0] for s in order], np.int64)
     first = np.array([s[1] for s in order], np.int64)
     sequence = np.array([s[3] for s in order], np.int64)

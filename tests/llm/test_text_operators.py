@@ -142,6 +142,36 @@ def test_plans_hold_every_piece_once(histogram):
     assert n <= max(1, 2 * sum(k * v for k, v in histogram.items()) / 64 + 1)
 
 
+def test_patterns_place_most_pieces_and_reach_the_bound():
+    rng = np.random.default_rng(5)
+    lengths = np.clip(rng.lognormal(6.4, 0.8, 20_000).astype(int), 1, 4096)
+    made = packing.Plan(Counter(lengths.tolist()))
+    assert made.in_patterns > 0.5 * len(lengths)
+    assert made.sequences <= 1.001 * -(-lengths.sum() // 4096) + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abzAÉéß '\u2019sStTrR.,;|<>-12\n\t\x1c\xa0×ñ中́e"), max_size=40), max_size=4), st.integers(4, 60))
+def test_word_encoder_gives_the_tokenizers_ids(texts, block):
+    from surveyloom.llm import word_encoder
+
+    encoder = word_encoder.word_encoder(packing.tokenizer_path())
+    before, word_encoder.BLOCK_BYTES = word_encoder.BLOCK_BYTES, block
+    try:
+        got = [x.tolist() for x in encoder.encode([t.encode() for t in texts])]
+    finally:
+        word_encoder.BLOCK_BYTES = before
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_encoder_takes_special_tokens_and_long_words():
+    from surveyloom.llm import word_encoder
+
+    encoder = word_encoder.word_encoder(packing.tokenizer_path())
+    texts = ["a<|endoftext|>B <|ENDOFTEXT|> c<|", "x" * 40 + " " + "y" * 17 + " " + "x" * 40 + "z", ""]
+    assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_nnls():
     rng = np.random.default_rng(3)
     for _ in range(20):
