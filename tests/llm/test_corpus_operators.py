@@ -141,13 +141,12 @@ def brute_lines(rows, min_sites):
         lines = [] if t is None else t.split("\n")
         flags = [len(sites[x]) >= min_sites if re.search(r"[^\x20\x09-\x0D]", x) else False for x in lines]
         kept = "\n".join(x for x, f in zip(lines, flags, strict=True) if not f)
-        cut = any(flags) and len(kept) >= len(t) * 0.5
-        out.append((str(i), kept if cut else t, len(lines), sum(flags), sum(flags) if cut else 0))
+        out.append((str(i), kept if any(flags) else t, len(lines), sum(flags), sum(flags)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("min_sites", [2, 5])
-def test_boilerplate_lines(spark, min_sites):
+@pytest.mark.parametrize(("min_sites", "hot_rows"), [(2, 1 << 16), (5, 1 << 16), (5, 6), (2, 1)])
+def test_boilerplate_lines(spark, min_sites, hot_rows):
     rng = random.Random(13)
     shared = [f"shared line {i}" for i in range(8)]
     more = []
@@ -157,12 +156,23 @@ def test_boilerplate_lines(spark, min_sites):
         rng.shuffle(lines)
         more.append((100 + i, "\n".join(lines), "en", None if i % 11 == 0 else f"site{rng.randrange(1 + i % 9)}", 1))
     docs, rows = cases.awkward(spark, 9, more)
-    found = line_dedup.drop_lines(docs, min_sites=min_sites)
+    found = line_dedup.drop_lines(docs, min_sites=min_sites, hot_rows=hot_rows)
     assert found.columns[:-3] == docs.columns
     got = sorted(((str(r["doc_id"]), r["text"], r["_n_lines"], r["_n_boilerplate"], r["_n_dropped"]) for r in found.collect()), key=repr)
     assert got == brute_lines(rows, min_sites)
 
 
+def test_boilerplate_of_any_names_and_of_long_texts(spark):
+    banner = "a banner on every site"
+    long = "\n".join([banner, *(f"line {i} of a long text" for i in range(200_000)), banner])
+    rows = [(i, f"{banner}\nown {i}", f"site{i}") for i in range(12)] + [(20, long, "site1"), (21, long, "site1")]
+    internal = ["t", "row", "k1", "k2", "deal", "deals", "places", "spread", "kept", "l1", "l2", "n", "m", "site", "place", "c0", "c1", "_t", "_k1"]
+    docs = spark.createDataFrame([(*r, *[f"x{j}" for j in range(len(internal))]) for r in rows], "c2 long, text string, source string, " + ", ".join(f"{c} string" for c in internal))
+    got = {r["c2"]: r for r in line_dedup.drop_lines(docs, hot_rows=3).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {i: f"own {i}" for i in range(12)} | {i: long[len(banner) + 1 : -len(banner) - 1] for i in (20, 21)}
+    assert all([r[c] for c in internal] == [f"x{j}" for j in range(len(internal))] for r in got.values())
+
+
 def test_only_copies_keep_their_boilerplate(spark):
     banner = "a long banner line that stands on every site there is"
     rows = [(i, f"{banner}\n{banner}\nown {i}", "en", f"site{i}", 1) for i in range(12)]  # mostly boilerplate, with text of its own
