@@ -26,8 +26,7 @@ WINDOW = 10
 SHARD_BYTES = 16 << 20
 PIECE_BYTES = 2 << 20
 #: Text of the items that are searched in one pass; larger benchmarks take more passes.
-BLOCK_BYTES = 16 << 20
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+BLOCK_BYTES = 4 << 20
 
 
 class Phrases:
@@ -123,10 +122,13 @@ def find(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.ndarray,
 
 def hit_runs(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     """Code-point spans of the runs of hit words; the gaps between two hit words that follow each other are inside."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], wordhash.ALNUM[wordhash.LOWER[raw]], [False]])
+    words = np.flatnonzero(inside[1:] != inside[:-1])  # begin and end of each in turn
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
     edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    words = [m.span() for m in WORD.finditer(text.lower())]
-    chars = lambda n: len(text[:n].decode(errors="replace"))
-    return [(chars(words[a][0]), chars(words[b - 1][1])) for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+    return list(zip(points[words[2 * first]].tolist(), points[words[2 * last + 1]].tolist(), strict=True))
 
 
 def _shards(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
