@@ -15,16 +15,16 @@ from surveyloom.llm.common import materialize
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
-#: name, vote over the features: true is good, false is bad, null abstains. Bounds follow the usual web-text heuristics.
+#: name, vote over the features: true is good, false is bad, null abstains. The bounds are those that published filters of web
+#: text use (words, word length, symbols a word, repetition), none is fitted to labels; no two rules look at the same counts,
+#: but for the number of words, because the votes are taken as independent.
 RULES: list[tuple[str, str]] = [
-    ("length", "case when n_words < 20 then false when n_words >= 100 then true end"),
-    ("word_length", "case when word_chars < 3 * n_words or word_chars > 12 * n_words then false end"),
-    ("symbols", "case when 10 * n_symbols > n_words then false when n_symbols = 0 then true end"),
-    ("symbol_density", "case when 4 * n_symbols > n_words then false when 50 * n_symbols <= n_words then true end"),
-    ("repeated_lines", "case when 10 * n_dup_lines > 3 * n_lines then false end"),
-    ("repeated_words", "case when 100 * n_repeat_words > 15 * n_words then false when n_repeat_words = 0 then true end"),
-    ("capitals", "case when 5 * n_capitals > 2 * word_chars then false when 10 * n_capitals <= word_chars then true end"),
-    ("exclamations", "case when 5 * n_exclaimed > n_words then false when 50 * n_exclaimed <= n_words then true end"),
+    ("length", "n_words >= 50"),
+    ("word_length", "word_chars >= 3 * n_words and word_chars <= 10 * n_words"),
+    ("symbols", "10 * n_symbols <= n_words"),
+    ("repetition", "10 * n_dup_lines <= 3 * n_lines and 100 * n_repeat_words <= 15 * n_words"),
+    ("capitals", "5 * n_capitals <= word_chars"),
+    ("exclamations", "10 * n_exclaimed <= n_words"),
 ]
 
 _WINDOW_HASHES = """
@@ -88,40 +88,45 @@ def votes_of(code: int, n: int) -> list[int]:
     return out[::-1]
 
 
-ROUNDS, STRENGTH, PRIOR, START = 30, 50.0, 0.7, (0.99, 0.5)
+#: Rounds of EM; imagined votes of each rule in each class, and the share of good ones among them; bounds of what is estimated.
+ROUNDS, STRENGTH, IMAGINED, BOUNDS = 30, 10.0, (0.99, 0.5), (0.01, 0.99)
+
+
+def _bounded(x: float) -> float:
+    return min(BOUNDS[1], max(BOUNDS[0], x))
 
 
 def fit(counts: dict[int, int], n_rules: int, rounds: int = ROUNDS, strength: float = STRENGTH) -> tuple[float, list[tuple[float, float]]]:
-    """Prior of a good document, and for each rule its accuracy on good and on bad documents, by EM over counts of vote patterns.
+    """Prior of a good document, and each rule's rate of good votes on good and on bad documents, by EM over counts of vote patterns.
 
-    Accuracies start at 0.99 on good documents and 0.5 on bad ones (a bad document breaks some rules, not most), and are
-    held there by ``strength`` imagined votes, which also names the two classes; without votes the start is returned.
+    No label is used. EM starts from the filter that it replaces: a document that breaks no rule is good, any other is bad.
+    From there, rules whose bad votes agree with nothing else lose their say. A few imagined votes stand for rules that
+    nobody breaks; a good vote never tells for a bad document.
     """
-    start = START
-    prior, accuracy = PRIOR, [start] * n_rules
     patterns = [(votes_of(code, n_rules), n) for code, n in sorted(counts.items())]
+    good = [float(BAD not in votes) for votes, _ in patterns]
+    prior, accuracy = 0.5, [IMAGINED] * n_rules
     for _ in range(rounds):
-        total = good = 0.0
-        seen = [[strength, strength * start[0], strength, strength * start[1]] for _ in range(n_rules)]
-        for votes, n in patterns:
-            p = posterior(votes, prior, accuracy)
-            total, good = total + n, good + n * p
-            for s, v in zip(seen, votes, strict=True):
-                if v != ABSTAIN:
-                    s[0], s[2] = s[0] + n * p, s[2] + n * (1 - p)
-                    s[1], s[3] = s[1] + n * p * (v == GOOD), s[3] + n * (1 - p) * (v == BAD)
-        prior = min(0.99, max(0.2, (good + PRIOR * strength) / (total + strength)))
-        accuracy = [(min(0.995, max(0.6, s[1] / s[0])), min(0.995, max(0.02, s[3] / s[2]))) for s in seen]
+        total = sum(n for _, n in patterns)
+        prior = _bounded((sum(n * p for (_, n), p in zip(patterns, good, strict=True)) + strength / 2) / (total + strength))
+        accuracy = []
+        for r in range(n_rules):
+            cast = [(votes[r], n, p) for (votes, n), p in zip(patterns, good, strict=True) if votes[r] != ABSTAIN]
+            a = _bounded((sum(n * p for v, n, p in cast if v == GOOD) + strength * IMAGINED[0]) / (sum(n * p for _, n, p in cast) + strength))
+            b = _bounded((sum(n * (1 - p) for v, n, p in cast if v == GOOD) + strength * IMAGINED[1]) / (sum(n * (1 - p) for _, n, p in cast) + strength))
+            accuracy.append((a, min(a, b)))
+        good = [posterior(votes, prior, accuracy) for votes, _ in patterns]
     return prior, accuracy
 
 
 def posterior(votes: list[int], prior: float, accuracy: list[tuple[float, float]]) -> float:
+    """Probability of a good document with these votes."""
     z = math.log(prior) - math.log(1 - prior)
     for v, (good, bad) in zip(votes, accuracy, strict=True):
         if v == GOOD:
-            z += math.log(good) - math.log(1 - bad)
+            z += math.log(good) - math.log(bad)
         elif v == BAD:
-            z += math.log(1 - good) - math.log(bad)
+            z += math.log(1 - good) - math.log(1 - bad)
     return 1 / (1 + math.exp(-z))
 
 
@@ -149,17 +154,18 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _em_sql(n_rules: int) -> str:
-    """The rounds of ``fit`` as a chain of tables: p0, q0, p1, q1, ...; parameters are pr, g0, b0, g1, b1, ..."""
-    start = f"select {PRIOR} as pr, " + ", ".join(f"{START[0]} as g{r}, {START[1]} as b{r}" for r in range(n_rules))
-    gain = " + ".join(f"case v{r} when {GOOD} then ln(g{r}) - ln(1 - b{r}) when {BAD} then ln(1 - g{r}) - ln(b{r}) else 0 end" for r in range(n_rules))
+    """The rounds of ``fit`` as a chain of tables: q0, p1, q1, p2, ...; parameters are pr, g0, b0, g1, b1, ..."""
+    gain = " + ".join(f"case v{r} when {GOOD} then ln(g{r}) - ln(b{r}) when {BAD} then ln(1 - g{r}) - ln(1 - b{r}) else 0 end" for r in range(n_rules))
     score = f"1 / (1 + exp(-(ln(pr) - ln(1 - pr) + {gain})))"
-    tables = [f"p0 as materialized ({start})"]
+    broken = " or ".join(f"v{r} = {BAD}" for r in range(n_rules))
+    bounded = lambda e: f"least({BOUNDS[1]}, greatest({BOUNDS[0]}, {e}))"
+    share = lambda w, r, k: bounded(f"(coalesce(sum(case when v{r} = {GOOD} then {w} else 0 end), 0) + {STRENGTH * IMAGINED[k]}) / (coalesce(sum(case when v{r} <> {ABSTAIN} then {w} else 0 end), 0) + {STRENGTH})")
+    tables = [f"q0 as materialized (select patterns.*, case when {broken} then 0.0 else 1.0 end as q from patterns)"]
     for k in range(ROUNDS):
-        tables.append(f"q{k} as materialized (select patterns.*, {score} as q from patterns, p{k})")
-        share = lambda w, r, hit: f"(coalesce(sum(case when v{r} = {hit} then {w} else 0 end), 0) + {STRENGTH} * {START[hit == BAD]}) / (coalesce(sum(case when v{r} <> {ABSTAIN} then {w} else 0 end), 0) + {STRENGTH})"
-        accuracy = ", ".join(f"least(0.995, greatest(0.6, {share('n * q', r, GOOD)})) as g{r}, least(0.995, greatest(0.02, {share('n * (1 - q)', r, BAD)})) as b{r}" for r in range(n_rules))
-        prior = f"least(0.99, greatest(0.2, (coalesce(sum(n * q), 0) + {PRIOR * STRENGTH}) / (coalesce(sum(n), 0) + {STRENGTH})))"
+        accuracy = ", ".join(f"{share('n * q', r, 0)} as g{r}, least({share('n * q', r, 0)}, {share('n * (1 - q)', r, 1)}) as b{r}" for r in range(n_rules))
+        prior = bounded(f"(coalesce(sum(n * q), 0) + {STRENGTH / 2}) / (coalesce(sum(n), 0) + {STRENGTH})")
         tables.append(f"p{k + 1} as materialized (select {prior} as pr, {accuracy} from q{k})")
+        tables.append(f"q{k + 1} as materialized (select patterns.*, {score} as q from patterns, p{k + 1})")
     tables.append(f"verdict as materialized (select votes.doc_id, votes.row, {score} as q from votes, p{ROUNDS})")
     return ",\n".join(tables)
 
