@@ -83,11 +83,30 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rou
     return w
 
 
+#: Features that the calibration may use: the difference alone, with the ratio and its square, and with the length.
+COVARIATES, FOLDS = (1, 3, 4), 5
+
+
+def _log_loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Mean log-loss of ``logistic`` on folds that it was not fitted to; a row's fold is its place modulo ``FOLDS``."""
+    fold = np.arange(len(y)) % FOLDS
+    total = 0.0
+    for k in range(FOLDS):
+        own = fold == k
+        w = logistic(x[~own], y[~own], weight[~own], ridge=1.0)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x[own] @ w[:-1] + w[-1], -30, 30))), 1e-9, 1 - 1e-9)
+        total -= float((weight[own] * (y[own] * np.log(p) + (1 - y[own]) * np.log(1 - p))).sum())
+    return total / float(weight.sum())
+
+
 class Model:
-    """score(text): calibrated probability of good quality."""
+    """score(text): calibrated probability of good quality.
+
+    How many of the features are used is chosen by cross-validation within the rows that are learned from.
+    """
 
     def __init__(self, good: list[str], bad: list[str], rate: float):
-        self.compressors = None
+        self.compressors, self.used = None, 0
         self.mean = self.scale = self.slopes = np.zeros(4)
         self.intercept = math.log(rate / (1 - rate))
         if not good or not bad:
@@ -99,8 +118,11 @@ class Model:
         y = np.array([1.0] * len(good2) + [0.0] * len(bad2))
         weight = np.where(y == 1, rate / len(good2), (1 - rate) / len(bad2)) * len(y)
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        fitted = logistic((x - self.mean) / self.scale, y, weight, ridge=1.0)
-        self.slopes, self.intercept = fitted[:-1], float(fitted[-1])
+        z = (x - self.mean) / self.scale
+        self.used = min(COVARIATES, key=lambda n: _log_loss(z[:, :n], y, weight)) if min(len(good2), len(bad2)) >= FOLDS else COVARIATES[0]
+        fitted = logistic(z[:, : self.used], y, weight, ridge=1.0)
+        self.slopes = np.append(fitted[:-1], np.zeros(4 - self.used))
+        self.intercept = float(fitted[-1])
 
     def score(self, text: bytes) -> float:
         z = self.intercept
