@@ -3,7 +3,8 @@
 Each language has a table of byte-trigram log-probabilities; a word's likelihood is the product over its letters. A
 document is a mixture of words from some languages; proportions come from EM, and of the sets {best}, {best two}, ... the
 one with the best penalised likelihood is kept; sets grow until two sizes in a row bring no improvement. All documents of a
-slice are estimated at once, in numpy, the tables searched in blocks of ``BLOCK`` languages.
+slice are estimated at once, in numpy, the tables searched in blocks of ``BLOCK`` languages; a text longer than a slice is
+gone through in runs of words, again for each round, so memory is bounded by ``SLICE_BYTES`` times ``BLOCK``.
 
 The tables come from a bounded sample of rows with a known language (``PER_LANGUAGE`` documents each, ``TRAIN_BYTES`` of
 text in all, but one text of each language at least; parameters). Every language is learned, and every document is read whole.
@@ -27,6 +28,8 @@ BLOCK = 64
 BUCKETS = 1 << 16
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
+#: Rounds of EM, and the weight of half the logarithm of the number of words for each language more.
+ROUNDS, PENALTY = 6, 3.0
 
 #: Letters stay; the bytes of non-ASCII characters count as letters; all else is one separator.
 _LETTER = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -48,6 +51,40 @@ def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return _LETTER[data], begins
 
 
+class _Run:
+    """A run of words of a slice: the text and the letters of each. Its trigrams are made anew whenever they are needed, but
+    for the only run of a slice, whose likelihoods are kept.
+    """
+
+    def __init__(self, data: np.ndarray, begin: int, end: int, begins: np.ndarray):
+        self.data, self.begin, self.end = data, begin, end
+        _, at = _trigrams(data[begin:end])
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1])) if len(at) else np.zeros(0, np.int64)
+        self.starts, self.letters = starts, np.diff(np.append(starts, len(at)))
+        text = np.searchsorted(begins, at[starts] + begin, side="right") - 1
+        self.first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else text
+        self.texts = text[self.first]  # texts that have a word here, in order
+        self.words = np.diff(np.append(self.first, len(text)))
+        self.of = np.repeat(np.arange(len(self.texts)), self.words)
+
+    def buckets(self) -> np.ndarray:
+        return _trigrams(self.data[self.begin : self.end])[0]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of each text's words here."""
+        return np.add.reduceat(values, self.first, axis=0)
+
+
+def _runs(data: np.ndarray, begins: np.ndarray, most: int) -> list[_Run]:
+    """Runs of about ``most`` bytes that end at separators, one where there are less than twice as many; a longer word is in one run."""
+    ends = [len(data)]
+    if len(data) > 2 * most:
+        gaps = np.flatnonzero(data == 32)
+        ends = sorted({int(gaps[i]) + 1 for i in np.searchsorted(gaps, np.arange(most, len(data), most)).clip(max=len(gaps) - 1)} | {len(data)})
+    found = [_Run(data, a, b, begins) for a, b in zip([0, *ends], ends, strict=False)]
+    return [r for r in found if len(r.texts)]
+
+
 class Languages:
     """Trigram tables of the learned languages."""
 
@@ -62,116 +99,139 @@ class Languages:
             own = count(n)
             self.table[:, j] = np.log((own + weight * share) / (own.sum() + weight))
 
-    def estimate(self, texts: list[str | None], rounds: int = 6, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    def estimate(self, texts: list[str | None], rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
         """Proportions of the languages for each text (rows of 0 where nothing can be told), and whether it has a letter."""
         return self._estimate(texts, rounds, penalty)[:2]
 
-    def _estimate(self, texts: list[str | None], rounds: int = 6, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``estimate``, and the mean log-probability of a trigram under the mixture (0 where nothing can be told)."""
+    def _words(self, run: _Run, buckets: np.ndarray, languages: slice) -> np.ndarray:
+        """Log-likelihood of each word of the run in the languages of the slice."""
+        return np.add.reduceat(self.table[:, languages][buckets], run.starts, axis=0).astype(np.float64)
+
+    def _estimate(self, texts: list[str | None], rounds: int = ROUNDS, penalty: float = PENALTY, run_bytes: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``estimate``; the mean log-probability of a trigram under the mixture (0 where nothing can be told); and how much
+        more likely the set is than the best language that isn't its first one (log-likelihoods; infinite if there is none).
+        """
         n, k = len(texts), len(self.names)
-        out, fit = np.zeros((n, k)), np.zeros(n)
+        out, fit, margin = np.zeros((n, k)), np.zeros(n), np.zeros(n)
         data, begins = _bytes(texts)
-        buckets, at = _trigrams(data)
-        if not len(at) or not k:
-            return out, np.array([any(c.isalpha() for c in t or "") for t in texts], bool), fit
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
-        counts = np.searchsorted(at[starts], begins[1:]) - np.searchsorted(at[starts], begins[:-1])
-        real = np.flatnonzero(counts)
-        first = (np.cumsum(counts) - counts)[real]
-        text_of = np.repeat(np.arange(len(real)), counts[real])
-        total = counts[real].astype(np.float64)
+        runs = _runs(data, begins, run_bytes)
+        if not runs or not k:
+            return out, np.array([any(c.isalpha() for c in t or "") for t in texts], bool), fit, margin
         spans = [slice(a, a + BLOCK) for a in range(0, k, BLOCK)]
-        cached: list[np.ndarray] = []  # with one block, words are looked up once
-
-        def words(own: slice) -> np.ndarray:
-            if cached:
-                return cached[0]
-            found = np.add.reduceat(self.table[:, own][buckets], starts, axis=0).astype(np.float64)
-            if len(spans) == 1:
-                cached.append(found)
-            return found
-
-        top = np.full((len(starts), 1), -np.inf)
-        single = np.empty((len(real), k))
-        for own in spans:
-            found = words(own)
-            top = np.maximum(top, found.max(axis=1, keepdims=True))
-            single[:, own] = np.add.reduceat(found, first, axis=0)
-        ceiling = np.add.reduceat(top[:, 0], first)
-        if cached:
-            likelihood = [np.exp(cached[0] - top)]
-        full = np.full((len(real), k), 1.0 / k)
-        for _ in range(rounds):
-            whole, joint = np.zeros(len(starts)), None
-            for own in spans:
-                joint = full[:, own][text_of] * (likelihood[0] if cached else np.exp(words(own) - top))
-                whole += joint.sum(axis=1)
-            scale, new = np.maximum(whole, 1e-300)[:, None], np.empty_like(full)
+        kept = len(runs) == 1 and len(spans) == 1
+        total, letters, ceiling, single = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, k))
+        tops: list[np.ndarray] = []
+        for run in runs:
+            buckets, top = run.buckets(), np.full(len(run.starts), -np.inf)
             for own in spans:
-                if len(spans) > 1:
-                    joint = full[:, own][text_of] * np.exp(words(own) - top)
-                new[:, own] = np.add.reduceat(joint / scale, first, axis=0) / total[:, None]
-            full = new
-        order = np.argsort(-full, axis=1, kind="stable")
+                found = self._words(run, buckets, own)
+                np.maximum(top, found.max(axis=1), out=top)
+                single[run.texts, own] += run.sums(found)
+            tops.append(top)
+            ceiling[run.texts] += run.sums(top)
+            total[run.texts] += run.words
+            letters[run.texts] += run.sums(run.letters)
+        held = np.exp(found - top[:, None]) if kept else None  # likelihoods, the best language's of each word as 1
+
+        def joint(i: int, buckets: np.ndarray, share: np.ndarray, own: slice) -> np.ndarray:
+            run = runs[i]
+            near = held if kept else np.exp(self._words(run, buckets, own) - tops[i][:, None])
+            return share[run.texts][:, own][run.of] * near
+
         best = np.argmax(single, axis=1)
-        chosen = np.zeros((len(real), k))
-        chosen[np.arange(len(real)), best] = 1
-        score = single[np.arange(len(real)), best]
-        likely = score.copy()
-        grown = np.ones(len(real), int)  # the size that improved last
+        rows = np.arange(n)
+        score = single[rows, best]
+        likely, real = score.copy(), total > 0
+        chosen = np.zeros((n, k))
+        chosen[rows[real], best[real]] = 1
+        cost = lambda size: penalty * (size - 1) * 0.5 * np.log(total + 1) + size - 1
+        # No mixture is likelier than each word in its best language: where that doesn't pay for a second one, there is none.
+        mixed = real & (ceiling - score > cost(2)) & (k > 1)
+        full = np.zeros((n, k))
+        full[mixed] = 1.0 / k
+        for _ in range(rounds if mixed.any() else 0):
+            new = np.zeros_like(full)
+            for i, run in enumerate(runs):
+                if not mixed[run.texts].any():
+                    continue
+                buckets = None if kept else run.buckets()
+                whole, one = np.zeros(len(run.starts)), None
+                for own in spans:
+                    one = joint(i, buckets, full, own)
+                    whole += one.sum(axis=1)
+                scale = np.maximum(whole, 1e-300)[:, None]
+                for own in spans:
+                    one = one if len(spans) == 1 else joint(i, buckets, full, own)
+                    new[run.texts, own] += run.sums(one / scale)
+            full = np.where(mixed[:, None], new / np.maximum(total, 1)[:, None], 0.0)
+        order = np.argsort(-full, axis=1, kind="stable")
+        grown = np.where(mixed, 1, -2)  # the size that improved last
         for size in range(2, k + 1):
-            live = np.flatnonzero(grown >= size - 2)
-            if not len(live):
+            live = (grown >= size - 2) & (ceiling - score > cost(size))
+            if not live.any():
                 break
-            mine = np.flatnonzero((grown >= size - 2)[text_of])
-            index = np.cumsum(grown >= size - 2)[text_of[mine]] - 1
-            head = np.cumsum(counts[real][live]) - counts[real][live]
-            langs = order[live, :size]
-            if cached:
-                near = likelihood[0][mine[:, None], langs[index]]
-            else:
-                letters_of = np.repeat(np.arange(len(starts)), np.diff([*starts, len(at)]))
-                near = np.empty((len(mine), size))
-                for j in range(size):
-                    lang = np.zeros(len(real), int)
-                    lang[live] = langs[:, j]
-                    near[:, j] = np.add.reduceat(self.table[buckets, lang[text_of[letters_of]]], starts)[mine]
-                near = np.exp(near - top[mine])
-            share = np.take_along_axis(full[live], langs, axis=1) + 1e-9
+            share = np.take_along_axis(full, order[:, :size], axis=1) + 1e-9
             share /= share.sum(axis=1, keepdims=True)
-            for i in range(rounds // 2 + 1):
-                joint = share[index] * near
-                whole = np.maximum(joint.sum(axis=1), 1e-300)
-                if i < rounds // 2:
-                    share = np.add.reduceat(joint / whole[:, None], head, axis=0) / total[live][:, None]
-            found = np.add.reduceat(np.log(whole), head) + ceiling[live]
-            penalised = found - penalty * (size - 1) * 0.5 * np.log(total[live] + 1) - (size - 1)
-            better = penalised > score[live]
-            took = live[better]
-            score[took], likely[took], grown[took] = penalised[better], found[better], size
+            found = np.zeros(n)
+            for step in range(rounds // 2 + 1):
+                new, found = np.zeros_like(share), ceiling.copy()
+                for i, run in enumerate(runs):
+                    mine = np.flatnonzero(live[run.texts][run.of])
+                    if not len(mine):
+                        continue
+                    own = run.texts[run.of[mine]]
+                    langs = order[own, :size]
+                    if kept:
+                        near = held[mine[:, None], langs]
+                    else:
+                        buckets = run.buckets()
+                        word = np.repeat(np.arange(len(run.starts)), run.letters)
+                        near = np.empty((len(mine), size))
+                        for j in range(size):
+                            lang = order[run.texts[run.of], j]
+                            near[:, j] = np.add.reduceat(self.table[buckets, lang[word]], run.starts)[mine] - tops[i][mine]
+                        near = np.exp(near)
+                    one = share[own] * near
+                    whole = np.maximum(one.sum(axis=1), 1e-300)
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    found[own[first]] += np.add.reduceat(np.log(whole), first)
+                    new[own[first]] += np.add.reduceat(one / whole[:, None], first, axis=0)
+                if step < rounds // 2:
+                    share = new / np.maximum(total, 1)[:, None]
+            penalised = found - cost(size)
+            took = np.flatnonzero(live & (penalised > score))
+            score[took], likely[took], grown[took] = penalised[took], found[took], size
             chosen[took] = 0
-            chosen[took[:, None], langs[better]] = share[better]
-        out[real] = chosen
-        fit[real] = likely / np.add.reduceat(np.diff([*starts, len(at)]), first)
-        letters = np.zeros(n, bool)
-        letters[real] = True
-        for i in real[np.array([not t.isascii() for t in (texts[j] for j in real)], bool)].tolist():  # a non-ASCII character need not be a letter
-            letters[i] = any(c.isalpha() for c in texts[i])
-        return out, letters, fit
+            chosen[took[:, None], order[took, :size]] = share[took]
+        out[real] = chosen[real]
+        fit[real] = likely[real] / letters[real]
+        other = single.copy()
+        other[rows, out.argmax(axis=1)] = -np.inf
+        margin[real] = likely[real] - other[real].max(axis=1)
+        lettered = real.copy()
+        for i in np.flatnonzero(real).tolist():  # a non-ASCII character need not be a letter
+            if not texts[i].isascii():
+                lettered[i] = any(c.isalpha() for c in texts[i])
+        return out, lettered, fit, margin
 
     def name(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[dict]], list[float]]:
-        """Language, its proportion, the chosen set with proportions, and the mean log-probability of a trigram, for each text."""
-        shares, letters, fit = self._estimate(texts)
+        """Language, score, the chosen set with proportions, and the mean log-probability of a trigram, for each text.
+
+        The score is the language's proportion times the probability that the set explains the text better than the best other
+        language alone does; a letter is in three trigrams, so a third of the evidence counts.
+        """
+        shares, letters, fit, margin = self._estimate(texts)
         best = shares.argmax(axis=1) if len(self.names) else np.zeros(len(texts), int)
+        sure = 1 / (1 + np.exp(-np.clip(margin / 3, -30, 30)))
         names, scores, sets = [], [], []
-        for row, b, ok in zip(shares, best, letters, strict=True):
+        for row, b, ok, p in zip(shares, best, letters, sure.tolist(), strict=True):
             if not ok or not len(self.names) or row.max() <= 0:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 sets.append([])
             else:
                 names.append(self.names[b])
-                scores.append(float(min(1.0, row[b])))
+                scores.append(float(min(1.0, row[b]) * p))
                 sets.append([{"lang": self.names[j], "share": float(row[j])} for j in np.argsort(-row, kind="stable") if row[j] > 0])
         return names, scores, sets, fit.tolist()
 
