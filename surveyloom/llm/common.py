@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of the warehouse where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of the warehouse where that is unset on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return root.rstrip("/") if root else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
@@ -34,11 +38,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _clean() -> None:
+    left = 0
     for spark, path in _written:
         try:
             _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone already; the folder's owner sweeps it
-            return
+        except (Py4JError, AttributeError, OSError):  # the session has ended before
+            left += 1
+    if left:
+        print(f"{left} scratch tables are left, the first is {_written[0][1]}", file=sys.stderr)
 
 
 atexit.register(_clean)
@@ -58,6 +65,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``make()`` as a table; the scratch tables that were written on the way to it are deleted."""
+    before = set(_written)
+    out = materialize(make(), label)
+    for spark, path in set(_written) - before - {(out.sparkSession, out._scratch)}:
+        _written.remove((spark, path))
+        _delete(spark, path)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more: what was made from them is a table itself."""
     for df in tables:
@@ -67,6 +84,27 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+#: Rows from which a join key is frequent; the most frequent keys, so many at most, are dealt with.
+HOT_ROWS, MOST_HOT = 1 << 10, 1 << 14
+
+
+def frequent(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys that more than ``hot_rows`` rows of ``df`` have, the ``MOST_HOT`` most frequent; None if there are none. Counts are summed before the shuffle."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    found = materialize(counts.orderBy(F.desc("n")).limit(MOST_HOT).select(key), "frequent-keys")
+    return found if found.limit(1).collect() else None
+
+
+def join_frequent(many: DataFrame, one: DataFrame, key: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key at most; rows whose (first) key is ``hot`` are not shuffled."""
+    if hot is None:
+        return many.join(one, key, how)
+    first = key if isinstance(key, str) else key[0]
+    few = F.broadcast(one.join(F.broadcast(hot), first, "left_semi"))  # MOST_HOT rows at most
+    own = many.join(F.broadcast(hot), first, "left_semi").join(few, key, how)
+    return own.unionByName(many.join(F.broadcast(hot), first, "left_anti").join(one, key, how))
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

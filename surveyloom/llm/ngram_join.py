@@ -53,26 +53,31 @@ def prefix_length(n: int) -> int:
 
 
 class Order:
-    """The global order: an n-gram's key is half its hash, or, if it is frequent, its rank above all of those."""
+    """The global order: an n-gram's key is half its hash, or, if it is frequent, above all of those by its rank.
 
-    def __init__(self, hot: np.ndarray, counts: np.ndarray, salt_rows: int = SALT_ROWS):
+    What is frequent is told by the remainder of the hash by ``space``; the quotient stays in the key, so that the keys of
+    two n-grams are equal only if their hashes are.
+    """
+
+    def __init__(self, hot: np.ndarray, counts: np.ndarray, salt_rows: int = SALT_ROWS, space: int = 1 << 63):
         by = np.argsort(hot)
-        self.salt_rows = salt_rows
-        self.hot, self.rank, self.count = hot[by], by.astype(np.uint64), counts[by]
-        self.by_rank = counts
+        self.space, self.salt_rows = np.uint64(space), salt_rows
+        self.shift = np.uint64((((1 << 63) - 1) // space).bit_length())  # room for the quotient
+        self.hot, self.rank, self.by_rank = hot[by], by.astype(np.uint64), counts
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         halves = hashes >> np.uint64(1)
         if not len(self.hot):
             return halves
-        at = np.minimum(np.searchsorted(self.hot, halves), len(self.hot) - 1)
-        return np.where(self.hot[at] == halves, _TOP | self.rank[at], halves)
+        short = halves % self.space
+        at = np.minimum(np.searchsorted(self.hot, short), len(self.hot) - 1)
+        return np.where(self.hot[at] == short, _TOP | self.rank[at] << self.shift | halves // self.space, halves)
 
     def salts(self, keys: np.ndarray) -> np.ndarray:
         """How many places the postings of each key are dealt to."""
         out = np.ones(len(keys), np.int64)
         frequent = keys >= _TOP
-        out[frequent] = -(-self.by_rank[(keys[frequent] ^ _TOP).astype(np.int64)] // self.salt_rows)
+        out[frequent] = -(-self.by_rank[((keys[frequent] ^ _TOP) >> self.shift).astype(np.int64)] // self.salt_rows)
         return out
 
 
@@ -98,17 +103,35 @@ def ngram_sets(texts: list[bytes], order: Order | None = None, width: int = WIDT
     return out
 
 
-def set_id(keys: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_ids(keys: np.ndarray, shared: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """The set's id, and another 64 bits that tell sets of one id apart; an id in ``shared`` is known to be that of several."""
+    digest = hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
+    one, two = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+    return (one ^ two if one in shared else one), two
 
 
-def _packed(buckets: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
+def _packed(buckets: np.ndarray, columns: list[np.ndarray], narrow: bool = False) -> Iterator[tuple[int, list[bytes]]]:
     """The rows of each bucket, as bytes of each column."""
+    if not len(buckets):
+        return
     by = np.argsort(buckets, kind="stable")
     buckets, columns = buckets[by], [c[by] for c in columns]
-    starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else []
+    starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
     for a, b in zip(starts, [*starts[1:], len(buckets)], strict=True):
-        yield int(buckets[a]), [c[a:b].tobytes() for c in columns]
+        yield int(buckets[a]), [_narrowed(c[a:b]) if narrow else c[a:b].tobytes() for c in columns]
+
+
+def _narrowed(a: np.ndarray) -> bytes:
+    """Nothing if all are -1, two bytes each where they fit, else as they are."""
+    if a.dtype == np.int32:
+        return b"" if (a == -1).all() else a.tobytes()
+    return (a.astype(np.uint16) if a.dtype == np.uint32 and a.max() < 1 << 16 else a).tobytes()
+
+
+def _widened(raw: list[bytes], dtypes: list) -> list[np.ndarray]:
+    """What ``_narrowed`` made, the first column being of eight bytes each."""
+    n = len(raw[0]) // 8
+    return [np.full(n, -1, t) if not r else np.frombuffer(r, np.uint16).astype(t) if len(r) == 2 * n else np.frombuffer(r, t) for r, t in zip(raw, dtypes, strict=True)]
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[list[np.ndarray]]:
@@ -117,34 +140,57 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[list
     for batch in batches:
         for b, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != now and now is not None:
-                yield [np.frombuffer(b"".join(h), t) for h, t in zip(held, dtypes, strict=True)]
+                yield [np.concatenate(h) for h in held]
                 held = [[] for _ in dtypes]
             now = b
-            for h, r in zip(held, raw, strict=True):
+            for h, r in zip(held, _widened(raw, dtypes), strict=True):
                 h.append(r)
     if now is not None:
-        yield [np.frombuffer(b"".join(h), t) for h, t in zip(held, dtypes, strict=True)]
+        yield [np.concatenate(h) for h in held]
 
 
 def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_rows: int = SALT_ROWS) -> Order:
-    """Counts of what is first by hash alone, and as much again, over all documents; the most frequent, ``MOST_HOT`` at most, come to the driver."""
+    """Counts of what is first by hash alone, and as much again, over all documents; the most frequent, ``MOST_HOT`` at most, come to the driver.
+
+    An n-gram is counted by the remainder of its hash by 2 ** 32 times the number of buckets: four bytes in its bucket. Each
+    slice sends it once, with its count if it is there more often.
+    """
+    space = buckets << 32
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
                 sets = ngram_sets(common.text_bytes(part.column("text")))
                 keys = np.concatenate([s[: COUNTED * prefix_length(len(s))] for s in sets if len(s)] or [np.zeros(0, np.uint64)])
-                rows = list(_packed((keys % np.uint64(buckets)).astype(np.int64), [keys]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([r[0] for _, r in rows], pa.binary())], names=["bucket", "keys"])
+                short, n = np.unique(keys % np.uint64(space), return_counts=True)
+                bucket, rest = (short % np.uint64(buckets)).astype(np.int64), (short // np.uint64(buckets)).astype(np.uint32)
+                for several in (False, True):
+                    own = (n > 1) == several
+                    rows = list(_packed(bucket[own], [rest[own], n[own].astype(np.uint32)]))
+                    if rows:
+                        counts = [r[1] if several else b"" for _, r in rows]
+                        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([r[0] for _, r in rows], pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "keys", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (keys,) in _by_bucket(batches, [np.uint64]):
-            values, n = np.unique(keys, return_counts=True)
-            hot = n > hot_from
-            yield pa.RecordBatch.from_arrays([pa.array(values[hot].view(np.int64)), pa.array(n[hot])], names=["key", "n"])
+        def summed(bucket: int, keys: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+            values, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, np.concatenate(n), len(values)).astype(np.int64)
+            hot = total > hot_from
+            return pa.RecordBatch.from_arrays([pa.array(values[hot].astype(np.int64) * buckets + bucket), pa.array(total[hot])], names=["key", "n"])
 
-    packed = common.long_rows(docs).mapInArrow(first, "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+        now, keys, n = -1, [], []
+        for batch in batches:
+            for bucket, raw, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and keys:
+                    yield summed(now, keys, n)
+                    keys, n = [], []
+                now = bucket
+                keys.append(np.frombuffer(raw, np.uint32))
+                n.append(np.frombuffer(counts, np.uint32) if counts else np.ones(len(keys[-1]), np.uint32))
+        if keys:
+            yield summed(now, keys, n)
+
+    packed = common.long_rows(docs).mapInArrow(first, "bucket int, keys binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
     counts = common.materialize(packed.mapInArrow(count, "key long, n long"), "ngram-counts")
     bar, total = hot_from, 0
     for n, tokens in sorted(counts.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.desc("n")).limit(MOST_HOT).toLocalIterator(), reverse=True):
@@ -155,7 +201,7 @@ def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_row
     top = counts.where(F.col("n") > bar).toArrow()
     common.discard(counts)
     by = np.lexsort((top["key"].to_numpy(), top["n"].to_numpy()))
-    return Order(top["key"].to_numpy()[by].view(np.uint64), top["n"].to_numpy()[by], salt_rows)
+    return Order(top["key"].to_numpy()[by].astype(np.uint64), top["n"].to_numpy()[by], salt_rows, space)
 
 
 def _stars(key: np.ndarray, salt: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +245,7 @@ class Tree:
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())  # big-endian bytes sort as the keys do
         self.sets = [sets[i] for i in self.order]
         self.sizes = [len(s) for s in self.sets]
-        self.root = self._node(0, len(sets), 0)
+        self.root = self._build()
 
     def _common(self, a: int, b: int, start: int) -> int:
         x, y = self.sets[a], self.sets[b]
@@ -207,22 +253,33 @@ class Tree:
         differ = np.flatnonzero(x[start:m] != y[start:m])
         return start + int(differ[0]) if len(differ) else m
 
-    def _node(self, low: int, high: int, depth: int) -> tuple:
-        """(depth before, depth after, first, end, least size, largest size, children)."""
-        if high - low == 1:
-            return depth, self.sizes[low], low, high, self.sizes[low], self.sizes[low], ()
-        after = self._common(low, high - 1, depth)
-        children, i = [], low
-        while i < high:
-            j = i + 1
-            if self.sizes[i] > after:
-                head = self.sets[i][after]
-                while j < high and self.sets[j][after] == head:
-                    j += 1
-            children.append(self._node(i, j, after))
-            i = j
-        own = self.sizes[low:high]
-        return depth, after, low, high, min(own), max(own), tuple(children)
+    def _build(self) -> tuple:
+        """The root: (depth before, depth after, first, end, least size, largest size, children). Sets that hold each other nest as deep
+        as there are sets, so the stack is a list: runs are split on the way down and put together on the way up.
+        """
+        done: list[tuple] = []
+        stack: list[tuple[int, int, int, int, int]] = [(0, len(self.sets), 0, -1, 0)]  # first, end, depth; depth after and children, once split
+        while stack:
+            low, high, depth, after, n = stack.pop()
+            if high - low == 1:
+                done.append((depth, self.sizes[low], low, high, self.sizes[low], self.sizes[low], ()))
+            elif after < 0:
+                after, i, parts = self._common(low, high - 1, depth), low, []
+                while i < high:
+                    j = i + 1
+                    if self.sizes[i] > after:
+                        head = self.sets[i][after]
+                        while j < high and self.sets[j][after] == head:
+                            j += 1
+                    parts.append((i, j, after, -1, 0))
+                    i = j
+                stack.append((low, high, depth, after, len(parts)))
+                stack += parts[::-1]
+            else:
+                children = tuple(done[-n:])
+                del done[-n:]
+                done.append((depth, after, low, high, min(c[4] for c in children), max(c[5] for c in children), children))
+        return done[0]
 
     def links(self, component: list[int]) -> list[int]:
         """``component`` with the components of linked sets joined. Pairs that are joined already are not compared."""
@@ -259,17 +316,18 @@ class Tree:
         return out.tolist()
 
 
-def link_blocks(items: DataFrame) -> DataFrame:
+def link_blocks(items: DataFrame, order=None) -> DataFrame:
     """(a, b) edges: for each item, each class and the least class of its component, where the trees' search joined them.
 
-    ``items``: (item, cls, comp, keys).
+    ``items``: (item, cls, comp, keys), or with the broadcast ``order`` (item, cls, comp, text).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
             cls = list(rows)
             before = [c for c, _ in rows.values()]
-            after = Tree([np.frombuffer(k, np.uint64) for _, k in rows.values()]).links(before)
+            sets = [np.frombuffer(k, np.uint64) for _, k in rows.values()] if order is None else ngram_sets([t for _, t in rows.values()], order.value)
+            after = Tree(sets).links(before)
             least: dict[int, int] = {}
             for c, old, new in zip(cls, before, after, strict=True):
                 least[new] = min(least.get(new, c), c, old)
@@ -279,16 +337,17 @@ def link_blocks(items: DataFrame) -> DataFrame:
         now, held = None, {}
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            for item, cls, comp, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for item, cls, comp, held_as in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if item != now:
                     edges += solve(held) if len(held) > 1 else []
                     now, held = item, {}
-                held[cls] = (comp, keys)
+                held[cls] = (comp, held_as)
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
         edges = solve(held) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    return items.select("item", "cls", "comp", "keys").repartition("item").sortWithinPartitions("item").mapInArrow(run, "a long, b long")
+    held_as = F.col("keys") if order is None else F.col("text").cast("binary").alias("keys")
+    return common.long_rows(items.select("item", "cls", "comp", held_as).repartition("item").sortWithinPartitions("item")).mapInArrow(run, "a long, b long")
 
 
 def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hot_from: int = HOT, salt_rows: int = SALT_ROWS, family_size: int = FAMILY, block: int = BLOCK) -> DataFrame:
@@ -305,11 +364,17 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             for part in common.slices(batch, "text", SLICE_BYTES):
                 sets = ngram_sets(common.text_bytes(part.column("text")), handle.value)
                 first = [s[: prefix_length(len(s))].tobytes() if len(s) else b"" for s in sets]
-                cls = [set_id(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "text_key", "n", "cls", "first"])
+                ids = [set_ids(s) if len(s) else (None, None) for s in sets]
+                cols = [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(c, pa.int64()) for c in zip(*ids, strict=True)], pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *cols], names=["doc_id", "text_key", "n", "cls", "other", "first"])
 
-    described = common.long_rows(docs).mapInArrow(describe, f"doc_id {id_type}, text_key long, n long, cls long, first binary")
+    described = common.long_rows(docs).mapInArrow(describe, f"doc_id {id_type}, text_key long, n long, cls long, other long, first binary")
     described = common.materialize(described, "ngram-sets")
+    # Ids that several sets have: some in all at 10 ** 10 sets.
+    twice = described.groupBy("cls").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
+    shared = frozenset(r[0] for r in twice.select("cls").collect())
+    if shared:
+        described = described.withColumn("cls", F.when(F.col("cls").isin(list(shared)), F.col("cls").bitwiseXOR(F.col("other"))).otherwise(F.col("cls")))
     made = [described]  # what the last table makes superfluous
     rows = described.select("doc_id", "text_key", "n", "cls")
 
@@ -331,7 +396,7 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             times = handle.value.salts(key)
             salt = np.where(times > 1, (wordhash.mix(cls.view(np.uint64)) % times.astype(np.uint64)).astype(np.int64), -1).astype(np.int32)
             spot = wordhash.mix(key + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            packed = list(_packed((spot % np.uint64(buckets)).astype(np.int64), [key, salt, cls, n, place]))
+            packed = list(_packed((spot % np.uint64(buckets)).astype(np.int64), [key, salt, cls, n, place], narrow=True))
             cols = [pa.array([b for b, _ in packed], pa.int32()), *[pa.array([r[i] for _, r in packed], pa.binary()) for i in range(5)]]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -347,39 +412,45 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     family = components(stars.select("a", "b").union(across))
 
     def placed(labels: DataFrame) -> DataFrame:
-        found = rows.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("doc_id", "text_key", "n", F.coalesce("label", "cls").alias("comp"))
+        found = common.join_frequent(rows, labels.select(F.col("node").alias("cls"), "label"), "cls", common.frequent(rows, "cls"), "left").select("doc_id", "text_key", "n", F.coalesce("label", "cls").alias("comp"))
         out = common.materialize(found, "ngram-placed")
         handle.unpersist()
         chosen.unpersist()
         common.discard(*made)
         return out
 
-    # The sets of classes that are in a family, from the least document of each, found by a bit table of their ids.
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    # The texts of classes that are in a family, from the least document of each, found by a bit table of their ids.
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("least"), F.max("n").alias("n"))
+    classes = classes.select("cls", "least.doc_id", "least.text_key", "n")
     wanted = common.materialize(classes.join(family.select(F.col("node").alias("cls"), F.col("label").alias("family")), "cls"), "ngram-wanted")
     bits = common.BitTable.of(wanted, "doc_id", MOST_BITS)
     chosen = spark.sparkContext.broadcast(bits)
 
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.filter(pa.array(chosen.value.may_hold(batch.column("spot").to_numpy())))
+            yield pa.RecordBatch.from_arrays(held.columns[:3], names=["doc_id", "text_key", "text"])
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(chosen.value.may_hold(batch.column("spot").to_numpy())))
             for part in common.slices(batch, "text", SLICE_BYTES):
-                sets = [s for s in ngram_sets(common.text_bytes(part.column("text")), handle.value) if len(s)]
+                sets = ngram_sets(common.text_bytes(part.column("text")), handle.value)
                 least = [[int(wordhash.mix(s ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))).min().view(np.int64)) for seed in SEEDS] for s in sets]
-                cols = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["cls", "keys", "least"])
+                cols = [part.column("cls"), part.column("family"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["cls", "family", "keys", "least"])
 
-    probe = bits.probed(docs.select("doc_id", "text"), "doc_id", "spot").select("text", "spot")
-    sets = common.materialize(common.long_rows(probe).mapInArrow(gather, "cls long, keys binary, least array<long>"), "ngram-keys")
+    probe = bits.probed(docs.select("doc_id", "text_key", "text"), "doc_id", "spot")
+    texts = common.long_rows(probe).mapInArrow(may_be, f"doc_id {id_type}, text_key long, text string")
 
-    # A small family is searched whole.
+    # A small family is searched whole. Texts travel, not sets, which are larger.
     small = wanted.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where((F.col("m") <= family_size) & (F.col("total") <= FAMILY_NGRAMS))
-    members = wanted.select("cls", "family").join(small.select("family", F.lit(True).alias("small")), "family", "left")
-    whole = common.materialize(sets.join(members, "cls"), "ngram-families")
-    common.discard(sets)
+    members = wanted.select("cls", "doc_id", "text_key", "family").join(small.select("family", F.lit(True).alias("small")), "family", "left")
+    mine = F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.text_key") == F.col("m.text_key"))
+    whole = common.materialize(texts.alias("t").join(members.alias("m"), mine).select("cls", "family", "small", "text"), "ngram-families")
     made += [stars, wanted, whole]
-    edges = common.materialize(link_blocks(whole.where("small").select(F.col("family").alias("item"), "cls", F.col("cls").alias("comp"), "keys")), "ngram-edges")
-    sets = common.materialize(whole.where("small is null").dropDuplicates(["cls"]), "ngram-large")
+    edges = common.materialize(link_blocks(whole.where("small").select(F.col("family").alias("item"), "cls", F.col("cls").alias("comp"), "text"), handle), "ngram-edges")
+    rest = whole.where("small is null").select("cls", "family", "text")
+    sets = common.materialize(common.long_rows(rest).mapInArrow(gather, "cls long, family long, keys binary, least array<long>").dropDuplicates(["cls"]), "ngram-large")
     made += [edges, sets]
     large = sets.select("cls", "family")
     if not large.limit(1).collect():
@@ -423,7 +494,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **size
     """
     placed = placed_rows(docs, text_col, id_col, **sizes)
     smallest = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return common.join_frequent(placed, smallest, "comp", common.frequent(placed, "comp"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **sizes: int) -> DataFrame:
@@ -434,19 +505,21 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
     """
     placed = placed_rows(docs, text_col, id_col, **sizes)
     best = placed.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"), F.count(F.lit(1)).alias("n"))
-    members = placed.join(best.where("n > 1"), "comp")
+    members = common.join_frequent(placed, best.where("n > 1"), "comp", common.frequent(placed, "comp"))
     gone = members.where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))))
     twice = members.where(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
     twice = twice.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(True).alias("_stays"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(False).alias("_stays")).distinct()
     touched = common.materialize(gone.unionByName(twice), "ngram-gone")
     names = docs.columns
-    flagged = common.BitTable.of(touched, "_id").flag(docs, id_col, "_may")
-    clear = flagged.where(~F.col("_may")).select(*names)
-    asked = flagged.where("_may").withColumn("_text_key", F.xxhash64(text_col))
-    joined = asked.join(touched, F.col("_id").eqNullSafe(F.col(id_col)) & (F.col("_key") == F.col("_text_key")), "left").where(F.coalesce("_stays", F.lit(True)))
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    row_id, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    flagged = common.BitTable.of(touched, "_id").flag(own, row_id, "_may")
+    clear = flagged.where(~F.col("_may")).select(*own.columns)
+    asked = flagged.where("_may").withColumn("_text_key", F.xxhash64(text))
+    joined = asked.join(touched, F.col("_id").eqNullSafe(F.col(row_id)) & (F.col("_key") == F.col("_text_key")), "left").where(F.coalesce("_stays", F.lit(True)))
     alone = F.when(F.col("_stays").isNull(), F.monotonically_increasing_id())  # only rows that are known to repeat are made one
-    return clear.unionByName(joined.withColumn("_alone", alone).dropDuplicates([id_col, "_text_key", "_alone"]).select(*names))
+    return clear.unionByName(joined.withColumn("_alone", alone).dropDuplicates([row_id, "_text_key", "_alone"]).select(*own.columns)).toDF(*names)
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from surveyloom.llm import balanced_shards, common, line_dedup, ngram_join
@@ -127,6 +128,75 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_nested_sets_make_a_deep_tree():
+    sets = [np.arange(1, n + 2, dtype=np.uint64) for n in range(1100)]  # each holds all before it
+    got = ngram_join.Tree(sets).links(list(range(1100)))
+    assert len(set(got[4:])) == 1 and got[0] == 0 and got[0] != got[4]  # sizes of 5 and more are 80 % of the next
+
+
+def test_frequent_keys_join_like_others(spark):
+    many = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3 if i % 2 else 100 + i) for i in range(600)], "x int, k int")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (103, "c"), (110, "d")], "k int, y string")
+    hot = common.frequent(many, "k", 50)
+    assert {r["k"] for r in hot.collect()} == {0, 1, 2} and common.frequent(many, "k", 100) is None
+    for how in ("inner", "left"):
+        got = sorted(map(repr, common.join_frequent(many, one, "k", hot, how).collect()))
+        assert got == sorted(map(repr, many.join(one, "k", how).collect()))
+
+
+def test_components_of_hubs_and_chains(spark):
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1100)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), hot_rows=20).collect()}
+    assert got == {x: find(x) for x in got} and set(got) == {x for a, b in edges if a != b for x in (a, b)}
+
+
+def test_ids_that_several_sets_share(spark, monkeypatch):
+    """Set ids of two bits: the other half of the digest tells the sets apart."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(cases.words(rng, 30, 400)), "en", "s", 1) for i in range(12)] + [(20, "one two", "en", "s", 1)]
+    rows += [(30 + i, t, *r) for i, (_, t, *r) in enumerate(rows)]
+    whole = ngram_join.hashlib.blake2b
+
+    class Short:
+        def __init__(self, data, digest_size):
+            self.raw = whole(data, digest_size=digest_size).digest()
+
+        def digest(self):
+            return bytes([self.raw[0] & 3]) + bytes(7) + self.raw[8:]
+
+    found = []
+
+    def ids(keys, shared=frozenset()):
+        digest = Short(keys.tobytes(), 16).digest()
+        one, two = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+        return (one ^ two if one in shared else one), two
+
+    monkeypatch.setattr(ngram_join, "set_ids", ids)
+    found = ngram_join.join(spark.createDataFrame(rows, cases.SCHEMA)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: 20 if i == 42 else i % 30 for i, *_ in rows}
+
+
+def test_keep_one_with_any_names(spark):
+    internal = ["_may", "_id", "_key", "_stays", "_alone", "_text_key", "c0", "comp", "best", "n", "text_key", "doc"]
+    rows = [(i, f"a b c d e f g {i // 2}") for i in range(6)] + [(7, None), (0, "a b c d e f g 0")]
+    docs = spark.createDataFrame([(*r, *[f"x{j}" for j in range(len(internal))]) for r in rows], "c1 long, text string, " + ", ".join(f"{c} string" for c in internal)).withColumnRenamed("c1", "doc_id")
+    left = ngram_join.keep_one(docs)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 2, 4, 7] and all([r[c] for c in internal] == [f"x{j}" for j in range(len(internal))] for r in got)
+
+
 # boilerplate lines
 
 
@@ -279,3 +349,87 @@ def test_pipeline(spark, tmp_path):
     assert now.where("n_chars <> char_length(text) and doc_id = 2000").count() == 0
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(last)
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_pipeline(rows, items, model, least_fit):
+    """The pieces that the five stages leave, in plain Python; rows are (id, text, source), ids are distinct and not null."""
+    from tokenizers import Tokenizer
+
+    from surveyloom.llm import packing
+
+    fits = [model.name([t]) for _, t, _ in rows]
+    now = [r for r, (names, _, _, fit) in zip(rows, fits, strict=True) if names[0] != "und" and fit[0] >= least_fit]
+    sites, places = defaultdict(set), defaultdict(set)
+    for _, t, site in now:
+        places[t].add(site)
+        for line in t.split("\n"):
+            if WORD.search(line):
+                sites[line].add(site)
+    cut = []
+    for i, t, site in now:
+        kept = "\n".join(x for x in t.split("\n") if not (WORD.search(x) and len(sites[x] - {None}) >= line_dedup.MIN_SITES))
+        cut.append((i, kept if WORD.search(kept) and len(places[t] - {None}) < 2 else t))
+    least = {}
+    for (i, t), (_, n, c) in zip(sorted(cut, key=lambda r: str(r[0])), brute_components(cut), strict=True):
+        least.setdefault((c, n > 0) if n else i, []).append((i, t))
+    now = [min(own) for own in least.values()]
+    phrases = {tuple(w[i : i + 10]) for t in items for w in [ALNUM.findall(low(t))] for i in range(max(1, len(w) - 9) if w else 0)}
+    want = Counter()
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    for i, t in now:
+        words = [m.span() for m in ALNUM.finditer(low(t))]
+        texts = [low(t)[a:b] for a, b in words]
+        hit = {j for k in {len(p) for p in phrases} for a in range(len(texts) - k + 1) if tuple(texts[a : a + k]) in phrases for j in range(a, a + k)}
+        if words and len(hit) == len(words):
+            continue
+        parts, at = [], 0
+        for j in sorted(hit):
+            if j - 1 not in hit:
+                parts.append(t[at : words[j][0]])
+            if j + 1 not in hit:
+                at = words[j][1]
+        ids = np.array([*tokenizer.encode(" ".join([*parts, t[at:]]), add_special_tokens=False).ids, 1], "<u4")
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            want[i, k, a, min(4096, len(ids) - a), zlib.crc32(ids[a : a + 4096].tobytes())] += 1
+    return want
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    import corpus_pipeline
+    from surveyloom.llm import language_mixture
+
+    rng = random.Random(41)
+    passage, banner = " ".join(cases.words(rng, 24, 400, "p")), "subscribe to the news of every site"
+    spelt = lambda t: re.sub(r"([a-z])([0-9]+)", lambda m: m[1] + "".join(chr(97 + int(c)) for c in m[2]), t)
+    page = lambda n: " ".join(cases.words(rng, n, 900, rng.choice("wv")))
+    rows = [(i, page(rng.randint(30, 90)) + f"\n{banner}" * (i % 3 == 0), f"site{i % 14}") for i in range(60)]
+    rows += [(100 + i, " ".join(near(rng, rows[i][1].split(" "), i % 3)), f"site{i % 5}") for i in range(20)]
+    rows += [(200 + i, f"{page(12)} {passage} {page(9)}.", "site1") for i in range(4)]
+    rows += [(300, passage, "site2"), (301, banner, "site3"), (302, rows[0][1], "site9"), (303, "½ 12 —", "site1"), (304, "", None), (305, page(6000), None), (306, "A, B; c", "site2")]
+    rows = [(i, spelt(t), site) for i, t, site in rows]
+    items = [spelt(passage), spelt("short one"), "", None]
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "xx", site, len(t)) for i, t, site in rows], cases.SCHEMA)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = language_mixture.train(docs.select("doc_id", "text", "lang"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
+    want = brute_pipeline(rows, [t for t in items if t], model, corpus_pipeline.LEAST_FIT)
+    assert got == want and len({i for i, *_ in got}) < len(rows) - 10
+    end = Counter()
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == end[r["sequence_id"]]
+        end[r["sequence_id"]] += r["length"]
+    assert max(end.values()) <= 4096
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    cases.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a passage of a benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -239,6 +240,49 @@ def test_compression_quality(spark):
     assert compression_quality.score(cases.empty(spark), model).count() == 0
 
 
+def test_compression_scores_by_hand(spark):
+    """Dictionaries and coefficients are the model's; the sizes and the score are worked out again with the plain library."""
+    import zstandard
+
+    more, labels = labelled(spark)
+    docs, rows = cases.awkward(spark, 3, [(1000 + r[0], *r[1:]) for r in more])
+    model = compression_quality.train(docs, labels.selectExpr("doc_id + 1000 as doc_id", "quality"))
+    assert model.used in compression_quality.COVARIATES
+
+    def size(raw, text):
+        d = zstandard.ZstdCompressionDict(raw)
+        return sum(len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress(text[i : i + 2048])) for i in range(0, len(text), 2048))
+
+    def by_hand(text):
+        x = [0.0] * 4
+        if text:
+            good, bad = (size(raw, text) for raw in model.compressors.parts)
+            x = [(bad - good) / len(text), min(good, bad) / len(text), (min(good, bad) / len(text)) ** 2, math.log(1 + len(text))]
+        z = model.intercept + sum(model.slopes[j] * (x[j] - model.mean[j]) / model.scale[j] for j in range(4))
+        return 1 / (1 + math.exp(-z))
+
+    got = sorted(((str(r["doc_id"]), r["score"]) for r in compression_quality.score(docs, model).collect()))
+    want = sorted((str(r[0]), by_hand((r[1] or "").encode())) for r in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(a - b) < 0.02 for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+def test_compression_learns_without_held_out_rows():
+    rng = np.random.default_rng(0)
+    y = np.array([0.0, 1.0] * 100)
+    x = np.column_stack([y + rng.normal(0, 0.5, 200), rng.normal(0, 1, 200)])
+    weight = np.ones(200)
+    folds = [[i for i in range(200) if i % 5 == k] for k in range(5)]
+    loss = 0.0
+    for own in folds:
+        rest = [i for i in range(200) if i not in own]
+        w = compression_quality.logistic(x[rest], y[rest], weight[rest], ridge=1.0)
+        for i in own:
+            p = 1 / (1 + math.exp(-(x[i] @ w[:-1] + w[-1])))
+            loss -= math.log(p if y[i] else 1 - p)
+    assert abs(compression_quality._log_loss(x, y, weight) - loss / 200) < 1e-9
+
+
 def brute_counts(t):
     t = t or ""
     w = SPACED.findall(t)
@@ -271,6 +315,30 @@ def test_quality_rules(spark):
     assert quality_rules.judge(cases.empty(spark)).count() == 0
 
 
+def test_em_by_rows():
+    """EM over counts of patterns is EM over rows, in plain Python."""
+    rng = random.Random(2)
+    rows = [[rng.choice([0, 1, 1, 1, 2]) for _ in range(3)] for _ in range(120)]
+    counts = Counter(sum(v * 3 ** (2 - i) for i, v in enumerate(r)) for r in rows)
+    q = [0.0 if 0 in r else 1.0 for r in rows]
+    for _ in range(quality_rules.ROUNDS):
+        hold = lambda x: min(0.99, max(0.01, x))
+        prior, rates = hold((sum(q) + 5) / (len(rows) + 10)), []
+        for k in range(3):
+            own = [(r[k], p) for r, p in zip(rows, q, strict=True) if r[k] != 2]
+            a = hold((sum(p for v, p in own if v) + 9.9) / (sum(p for _, p in own) + 10))
+            b = hold((sum(1 - p for v, p in own if v) + 5) / (sum(1 - p for _, p in own) + 10))
+            rates.append((a, min(a, b)))
+        q = []
+        for r in rows:
+            good, bad = prior, 1 - prior
+            for v, (a, b) in zip(r, rates, strict=True):
+                good, bad = (good * a, bad * b) if v == 1 else (good * (1 - a), bad * (1 - b)) if v == 0 else (good, bad)
+            q.append(good / (good + bad))
+    got_prior, got = quality_rules.fit(counts, 3)
+    assert abs(got_prior - prior) < 1e-9 and all(abs(x - y) < 1e-9 for a, b in zip(got, rates, strict=True) for x, y in zip(a, b, strict=True))
+
+
 def test_em_matches_itself_by_rows():
     """EM over counts of patterns is EM over rows."""
     rng = random.Random(1)
@@ -344,6 +412,63 @@ def test_pipeline_keeps_mixtures(spark, tmp_path):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {101, 102}
 
 
+def brute_mixture(model, text, rounds=6, penalty=3.0):
+    """The language set of one text and its proportions, word by word in plain Python; the trigram tables are the model's."""
+    data = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode())
+    k, words = len(model.names), []
+    for w in data.split():
+        padded = b" " + w + b" "
+        keys = [((padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(w))]
+        words.append([sum(float(model.table[key, j]) for key in keys) for j in range(k)])
+
+    def em(langs, share, steps):
+        for _ in range(steps):
+            new = [0.0] * len(langs)
+            for w in words:
+                joint = [s * math.exp(w[j] - max(w)) for s, j in zip(share, langs, strict=True)]
+                new = [a + b / sum(joint) for a, b in zip(new, joint, strict=True)]
+            share = [a / len(words) for a in new]
+        return share
+
+    full = em(range(k), [1 / k] * k, rounds)
+    order = sorted(range(k), key=lambda j: -full[j])
+    single = [sum(w[j] for w in words) for j in range(k)]
+    best = max(range(k), key=lambda j: single[j])
+    score, chosen, grown = single[best], {best: 1.0}, 1
+    for size in range(2, k + 1):
+        if grown < size - 2:
+            break
+        langs = order[:size]
+        share = em(langs, [(full[j] + 1e-9) / sum(full[i] + 1e-9 for i in langs) for j in langs], rounds // 2)
+        likelihood = sum(max(w) + math.log(sum(s * math.exp(w[j] - max(w)) for s, j in zip(share, langs, strict=True))) for w in words)
+        penalised = likelihood - penalty * (size - 1) * 0.5 * math.log(len(words) + 1) - (size - 1)
+        if penalised > score:
+            score, chosen, grown = penalised, dict(zip(langs, share, strict=True)), size
+    return {model.names[j]: s for j, s in chosen.items()}
+
+
+@pytest.mark.parametrize(("run_bytes", "block"), [(1 << 20, 64), (40, 64), (1 << 20, 2), (64, 3)])
+def test_mixtures_word_by_word(monkeypatch, run_bytes, block):
+    monkeypatch.setattr(language_mixture, "BLOCK", block)
+    rng = random.Random(21)
+    syllables = {"aa": ["tha", "er", "on", "ing"], "bb": ["sch", "ung", "üb", "kei", "er"], "cc": ["ció", "ñas", "lla", "que", "on"], "dd": ["sza", "er", "czy", "ing"]}
+    make = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    model = language_mixture.Languages({n: [make(n, 300)] for n in syllables})
+    texts = [make(a, rng.randint(1, 30)) + ", " + " ".join(make(b, rng.randint(0, 12)) for b in rng.sample(sorted(syllables), 2)) for a in syllables for _ in range(6)]
+    shares, letters, fit, _ = model._estimate(texts, run_bytes=run_bytes)
+    assert letters.all()
+    for text, row in zip(texts, shares, strict=True):
+        want = brute_mixture(model, text)
+        got = {n: s for n, s in zip(model.names, row.tolist(), strict=True) if s > 0}
+        assert set(got) == set(want) and all(abs(got[n] - want[n]) < 1e-3 for n in want)
+
+
+def test_scores_tell_how_sure_a_language_is():
+    model = language_mixture.Languages({"aa": ["ab abab abb aab ab"], "bb": ["cd cdcd cdd ccd cd"]})
+    _, scores, _, _ = model.name(["ab " * 40, "ab", "ab cd " * 20, "x"])
+    assert scores[0] > 0.99 and scores[3] < scores[1] < scores[0] and scores[2] < 0.7
+
+
 def test_em_raises_the_likelihood():
     model = language_mixture.Languages({"aa": ["ab ab abab"], "bb": ["cd cdcd cd"]})
     share, letters = model.estimate(["ab ab ab cd", "", None, "12", "ab"])
@@ -436,6 +561,58 @@ def test_thresholds_are_calibrated():
     assert all(v <= 1.0 for v in few.least.values())
 
 
+def hidden_forms(rng):
+    """Personal data in forms that ``personal_data.rewritten`` doesn't make."""
+    card = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    card += next(d for d in "0123456789" if personal_data.luhn(card + d))
+    parts, octets = [card[i : i + 4] for i in range(0, 16, 4)], [str(rng.randint(10, 255)) for _ in range(4)]
+    a, b, c = rng.randint(200, 989), rng.randint(200, 989), rng.randint(1000, 9999)
+    yield from (("card", x.join(parts)) for x in ("–", " - ", ",", "*"))
+    yield from (("ip", x.join(octets)) for x in (" dot ", "[dot]", ":", "·"))
+    yield from (("phone", x) for x in (f"{a}.{b}.{c}", f"({a}) {b} {c}", f"{a}/{b}-{c}", f"{a}–{b}–{c}"))
+    name, host = f"ab.{rng.randint(1, 99)}", f"mail{rng.randint(1, 9)}"
+    yield from (("email", x) for x in (f"{name} [at] {host}.example.com", f"{name}{{at}}{host}{{dot}}example{{dot}}com", f"{name} AT {host} DOT example DOT com", f"{name}&#64;{host}.example.org"))
+
+
+def test_hidden_forms_are_found_and_clean_texts_left_alone():
+    rng = random.Random(33)
+    decoys = lambda: rng.choice([f"on {rng.randint(1900, 2099)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"id {rng.randint(10**6, 10**9)}", f"for {rng.randint(1, 9)},{rng.randint(100, 999)},{rng.randint(100, 999)}", f"v {rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}", ""])
+    spelt = lambda t: re.sub(r"\bk([0-9]+)", lambda m: "k" + "".join(chr(97 + int(c)) for c in m[1]), t)
+    plain = lambda: spelt(" ".join([*cases.words(rng, 20, 500, "kind of k"), decoys(), *cases.words(rng, 20, 500, "at k")]))
+    rows = [e for t in [*map(spelt, people(rng, 500)), *(plain() for _ in range(500))] for e in personal_data._examples(t)]
+    model = personal_data.Model(rows)
+    clean = [plain() for _ in range(600)]
+    assert sum(bool(model.spans(t)[1]) for t in clean) <= 6  # 1 %
+    found = Counter()
+    for t in clean[:120]:
+        for kind, form in hidden_forms(rng):
+            left = t[: len(t) // 2].rsplit(" ", 1)[0] + " k "
+            _, spans = model.spans(left + form + " k " + t[len(t) // 2 :])
+            found[kind, any(k == kind and a < len(left) + len(form) and b > len(left) for k, a, b in spans)] += 1
+    assert all(found[k, True] >= 0.9 * (found[k, True] + found[k, False]) for k in personal_data.KINDS), found
+
+
+def test_spans_are_chosen_best_first():
+    """The choice among overlapping proposals, by comparing all pairs."""
+    rng = random.Random(5)
+    model = personal_data.Model([e for t in people(rng, 300) for e in personal_data._examples(t)])
+    texts = [" ".join([rng.choice(["12", "2024-01-15", "k", "99"]), f, rng.choice(["7", "03/26", "k", "4111"])]) for _ in range(25) for _, f in hidden_forms(rng)] + people(rng, 30)
+    some = 0
+    for t in texts:
+        base = brute_spans(t)
+        left = [p for p in personal_data.proposals(t)]
+        score = {p: float(model.trees.probability(np.array([personal_data.features(t, *p)]))[0]) for p in left}
+        taken = list(base)
+        while True:
+            free = [p for p in left if score[p] >= model.least[p[0]] and not any(p[1] < b and a < p[2] for _, a, b in taken)]
+            if not free:
+                break
+            taken.append(min(free, key=lambda p: (-score[p], p[1] - p[2], p[1], personal_data.KINDS.index(p[0]))))
+        some += len(taken) > len(base)
+        assert model.spans(t)[1] == sorted(set(taken), key=lambda s: (s[1], personal_data.KINDS.index(s[0]), s[2]))
+    assert some > 50
+
+
 def test_boosting_learns_a_rule():
     from surveyloom.llm.boosting import Boosted
 
