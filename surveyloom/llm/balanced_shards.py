@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import materialize, table
+from surveyloom.llm.common import frequent, join_frequent, materialize, table
 
 SHARDS = 8
 BUCKET_ROWS = 20_000
@@ -83,7 +83,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col:
     """doc_id, size, text_crc32, linked, shard and slot for each row of ``docs``; counts of shards differ by one at most.
 
     Null texts count as empty, and empty ones are a group like any other. Rows that repeat and null ids are dealt each. An
-    empty table gives an empty result. Columns other than id and text are not read.
+    empty table gives an empty result. Columns other than id and text are not read. Rows are told apart by their place in the
+    input's partitions, so ties fall otherwise where the same rows are split otherwise into files; the law and the groups hold.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(t).cast("long").alias("bytes"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("k1"))
@@ -105,7 +106,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col:
             end += taken
             if taken:
                 own.append((end, s))
-    placed = rows.select("rid", "k1", "k2").join(settled, ["k1", "k2"]).select("rid", F.col("to").alias("shard"))
+    placed = join_frequent(rows.select("rid", "k1", "k2"), settled, ["k1", "k2"], frequent(rows, "k1")).select("rid", F.col("to").alias("shard"))
     if slices:
         group = F.lit(None).cast("int")
         for g, (k1, k2) in enumerate(slices):
