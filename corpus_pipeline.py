@@ -1,6 +1,8 @@
 """Corpus preparation in five stages, each written and read again by the next.
 
 Every stage takes all that the one before it kept, and returns the columns of ``documents``; the last returns the packing.
+In every stage rows that repeat are treated alike, each a row of its own (but for near duplicates, which are made one); ids
+and sources may be null; an empty table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,31 +29,31 @@ def _recounted(out: DataFrame, docs: DataFrame, changed) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that no mixture of languages fits."""
+    """Drops documents without a letter (so null and empty texts), and those that no mixture of languages fits."""
     found = language_mixture.identify(docs, language_mixture.train(docs.select("doc_id", "text", "lang")), fit_col="_fit")
     return found.where((F.col("_lang") != language_mixture.UNKNOWN) & (F.col("_fit") >= LEAST_FIT)).select(*docs.columns)
 
 
 def line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts boilerplate lines out of all texts but copied pages."""
+    """Cuts boilerplate lines out of all texts but copied pages; a null source is no site."""
     found = line_dedup.drop_lines(docs, only_copies=True)
     return _recounted(found, docs, F.col("_n_dropped") > 0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near duplicates."""
+    """Keeps one document of each component of near duplicates, that of the least id; texts without words all stay."""
     return ngram_join.keep_one(docs)
 
 
 def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark phrases out of the texts; a document of which no word is left goes."""
+    """Cuts benchmark phrases out of the texts; a document of which no word is left goes. Texts without words stay as they are."""
     found = decontaminate.scan(docs, common.table(spark, sf_dir, "benchmark"))
     left = decontaminate.cut(found).where((F.col("_n_hit") == 0) | (F.col("_n_hit") < F.col("_n_words")))
     return _recounted(left, docs, F.col("_n_hit") > 0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences; a null or empty text is its end id alone."""
     return packing.pack(docs)
 
 
@@ -67,5 +69,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, common.settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
