@@ -72,15 +72,18 @@ def raw_bytes(survey: SurveyFile, f, channel: Channel, block: np.void) -> tuple[
         f.seek(offset + PACKED_HEADER)
         probe = f.read(8)
         if len(probe) < 8:
-            raise codecs.CodecError("the file ends in the block's header")
+            raise codecs.CodecError("the file ends in the block's header", "SHORT_COMPRESSED")
         if probe == codecs.CHUNK_MAGIC:  # declared per file, but each block may be plain
             f.seek(offset + PACKED_HEADER)
-            framed = f.read(int(block["n_pages"]) * survey.header["page_size"] - PACKED_HEADER)
+            span = int(block["n_pages"]) * survey.header["page_size"] - PACKED_HEADER
+            framed = f.read(span)
             if len(framed) < codecs.FRAME:
-                raise codecs.CodecError("the file ends in the chunk's header")
+                raise codecs.CodecError("the file ends in the chunk's header", "SHORT_COMPRESSED")
+            if len(framed) < span:  # what there is may still hold the whole stream: only padding is missing then
+                survey.note("SHORT_COMPRESSED", f"{len(framed)} of {span} packed bytes are there", offset=offset)
             return codecs.unframe(framed, int(block["total"])), None
     if block["row_count"] < 0:
-        raise codecs.CodecError(f"{block['row_count']} rows")
+        raise codecs.CodecError(f"{block['row_count']} rows", "NEGATIVE_ROWS")
     width = -channel.dtype if channel.dtype < 0 else np.dtype(STORED[channel.dtype]).itemsize
     f.seek(offset + BLOCK.itemsize)
     return f.read(int(block["row_count"]) * width), int(block["row_count"])
@@ -96,7 +99,7 @@ def decode(survey: SurveyFile, f, channel: Channel, block: np.void, dummy_as_nul
     try:
         raw, declared = raw_bytes(survey, f, channel, block)
     except codecs.CodecError as e:
-        survey.note("NEGATIVE_ROWS" if str(e).endswith("rows") else "DECODE_FAILED", str(e), **where)
+        survey.note(e.code, str(e), **where)
         return pa.array([], kind)
     width = -channel.dtype if channel.dtype < 0 else np.dtype(STORED[channel.dtype]).itemsize
     n = len(raw) // width

@@ -17,7 +17,11 @@ MOST_RATIO = 9  # no LZRW1 stream gets smaller than a ninth
 
 
 class CodecError(ValueError):
-    """The bytes are not what their frame says."""
+    """The bytes are not what their frame says. ``code`` names the diagnostic."""
+
+    def __init__(self, message: str, code: str = "LZRW1_FAIL"):
+        super().__init__(message)
+        self.code = code
 
 
 def lzrw1(data: bytes, at: int, size: int) -> bytes:
@@ -102,20 +106,25 @@ def unframe(data: bytes, total: int) -> bytes:
     """The plain bytes of a framed blob: ``data`` begins with the chunk magic."""
     subtype = int.from_bytes(data[8:12], "little", signed=True)
     if subtype == SIZE:
+        stream = zlib.decompressobj()
         try:
-            return zlib.decompressobj().decompress(data[FRAME:])  # what follows the stream is padding
+            out = stream.decompress(data[FRAME:])  # what follows the stream is padding
         except zlib.error as e:
-            raise CodecError(f"zlib: {e}") from e
+            raise CodecError(f"zlib: {e}", "ZLIB_FAIL") from e
+        if not stream.eof:
+            raise CodecError(f"zlib: the stream ends after {len(out)} bytes", "ZLIB_FAIL")
+        return out
     if subtype == SPEED:
         return speed_blob(data, total)
-    raise CodecError(f"unknown chunk subtype {subtype}")
+    raise CodecError(f"unknown chunk subtype {subtype}", "UNKNOWN_SUBTYPE")
 
 
-def speed_chunks(data: bytes) -> list[tuple[int, int, int, int]]:
-    """(offset, bytes out, span, marker) of each framed LZRW1 chunk found anywhere in ``data``; frames that are cut off are left out."""
+def speed_chunks(data: bytes) -> list[tuple[int, int | None, int | None, int | None]]:
+    """(offset, bytes out, span, marker) of each framed LZRW1 chunk found anywhere in ``data``; nulls for a frame that is cut off."""
     out, at = [], data.find(CHUNK_MAGIC)
     while at >= 0:
-        if at + FRAME + _LINK.size <= len(data) and int.from_bytes(data[at + 8 : at + 12], "little", signed=True) == SPEED:
-            out.append((at, *_LINK.unpack_from(data, at + FRAME)))
+        if at + 12 > len(data) or int.from_bytes(data[at + 8 : at + 12], "little", signed=True) == SPEED:
+            cut = at + FRAME + _LINK.size > len(data)
+            out.append((at, None, None, None) if cut else (at, *_LINK.unpack_from(data, at + FRAME)))
         at = data.find(CHUNK_MAGIC, at + 1)
     return out

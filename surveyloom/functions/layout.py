@@ -300,7 +300,11 @@ class SurveyFile:
         if last is not None and at > self.size:
             self.note("PAST_EOF", f"the last block ends {at - self.size} bytes past the file", offset=rows[-1][0])
         elif last is not None and at != self.size:
-            self.note("SLACK", f"{self.size - at} bytes after the last block", offset=at)
+            rest = self.read(at, self.size - at)
+            if BLOCK_MAGIC.startswith(rest[: len(BLOCK_MAGIC)]):
+                self.note("MID_HEADER", f"the file ends {len(rest)} bytes into a block's header, after {len(rows)}", offset=at)
+            else:
+                self.note("SLACK", f"{len(rest)} bytes after the last block", offset=at)
         return np.array(rows, kind)
 
     def _next_block(self, f, at: int, page: int) -> int | None:
@@ -348,6 +352,10 @@ class SurveyFile:
                 out[slot] = name
         return out
 
+    def adopt(self, lines: list[Line], live: dict[tuple[int, int], np.void]) -> None:
+        """Takes what another reader of the file found, so that the chain of blocks isn't walked again."""
+        self.__dict__.update(lines=lines, live=live)
+
     @cached_property
     def live(self) -> dict[tuple[int, int], np.void]:
         """The current block of each (line slot, channel slot)."""

@@ -75,4 +75,4 @@ def test_zlib_and_its_padding():
 
 def test_chunks_are_found_anywhere():
     data = b"x" * 5 + HEAD + link(b"abc") + HEAD[:20]
-    assert codecs.speed_chunks(data) == [(5, 3, 15, codecs.STORED)]
+    assert codecs.speed_chunks(data) == [(5, 3, 15, codecs.STORED), (36, None, None, None)]
