@@ -76,7 +76,7 @@ def projection_values(text: Column) -> Column:
     return F.when(projection_method(text).isNotNull(), F.transform(_parts(text), lambda x: x.try_cast("double")))
 
 
-def values_fill_slots(values: Column, slots: Column) -> Column:
+def holds_in_order(values: Column, slots: Column) -> Column:
     """Whether the values are the slots that are set, in order, within the tolerance."""
     used = F.filter(slots, lambda x: x.isNotNull())
     return (F.size(values) == F.size(used)) & F.forall(F.zip_with(values, used, close), lambda x: F.coalesce(x, F.lit(False)))

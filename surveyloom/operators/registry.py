@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions import expressions as E
@@ -46,7 +48,7 @@ def projections(entries: DataFrame, texts: DataFrame) -> DataFrame:
     keys = ["path", "name", "chain_pos"]
     parsed = texts.select("path", "name", F.col("chain_pos").alias("text_pos"), E.projection_method(F.col("text")).alias("text_method"), E.projection_values(F.col("text")).alias("values"))
     tried = records.select(*keys, "parameters", "layout").join(parsed, ["path", "name"])
-    fits = F.coalesce(E.values_fill_slots(F.col("values"), F.col("parameters")), F.lit(False)) & F.coalesce(F.col("layout.method") == F.col("text_method"), F.col("layout").isNull())
+    fits = F.coalesce(E.holds_in_order(F.col("values"), F.col("parameters")), F.lit(False)) & F.coalesce(F.col("layout.method") == F.col("text_method"), F.col("layout").isNull())
     judged = tried.select(*keys, "text_pos", "text_method", fits.alias("fits"))
     best = judged.groupBy(*keys).agg(F.max_by("text_method", F.when(F.col("fits"), F.col("text_pos"))).alias("text_method"), F.max(F.when(F.col("fits"), F.col("text_pos"))).alias("text_pos"), F.count(F.lit(1)).alias("n"))
     joined = records.join(best, keys, "left")
@@ -79,3 +81,20 @@ def channel_makers(entries: DataFrame) -> DataFrame:
 
 def distinct_names(entries: DataFrame) -> DataFrame:
     return first_seen(entries, "name", "chain_pos")
+
+
+def findings(settings: DataFrame, projections: DataFrame, makers: DataFrame, roles: DataFrame) -> DataFrame:
+    """What contradicts itself in a registry, as rows of ``diagnostics``."""
+
+    def rows(df: DataFrame, when: str, code: str, channel: Column | None, message: Column) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return df.where(when).select("path", F.lit(code).alias("code"), none.alias("line"), (none if channel is None else channel).alias("channel"), F.lit(None).cast("long").alias("offset"), message.alias("message"))
+
+    told = [
+        rows(settings, "conflict", "REG_CONFLICT", F.col("channel"), F.concat(F.lit("several values of "), "key", F.lit("; the last counts"))),
+        rows(projections, "conflict", "IPJ_CONFLICT", None, F.concat(F.lit("several records of "), "name", F.lit("; the last counts"))),
+        rows(projections, "text_mismatch", "IPJ_TEXT_MISMATCH", None, F.concat(F.lit("a text of "), "name", F.lit(" doesn't fit its record"))),
+        rows(makers, "conflict", "MAKER_CONFLICT", F.col("channel"), F.concat(F.lit("several creation records, the last is by "), "tool")),
+        rows(roles, "ambiguous", "ROLE_AMBIGUOUS", None, F.concat(F.lit("several channels are registered as "), "role")),
+    ]
+    return reduce(DataFrame.unionByName, told)

@@ -8,10 +8,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from surveyloom.functions import cells, codecs, layout, registry
-
 PAGE = 1024
 CHUNK = 16368
+# Fixed values of the format, stated once more: the reader's are not used here, so that a wrong one shows.
+SIGNATURE = bytes.fromhex("21434244000000000000021008010000")
+BLOCK_MAGIC = bytes.fromhex("cccc00ff")
+CHUNK_MAGIC = bytes.fromhex("0f0efffe12345678")
+SIZE, PACKED, STORED = 2, -186263865, -253635901
+RECORD, DIRECTORY, LIVE_BIT = 128, 280, 2147483648
+ENTRY = np.dtype([("word", "<u4"), ("n_pages", "<u2")])
+HEADER_WORDS = {"chans_max": 24, "blobs_max": 28, "lines_max": 36, "users_max": 40, "index_slots": 44, "data_slots": 48, "page_size": 100, "comp_level": 120}
+START_PAGE = 108
+LINE_BLOCK = bytes.fromhex("aec59df414e384bcd6bf91c6176e05b5b5b89346")
+NUMBERS = {0: "<i1", 1: "<u2", 2: "<i2", 3: "<i4", 4: "<f4", 5: "<f8", 6: "<u1", 7: "<u4", 8: "<i8", 9: "<u8"}
+OBJECT_FRAME, MEMBER_FRAME, TAG_BLOCK = bytes.fromhex("ff00f00f"), bytes.fromhex("ff00e11e"), bytes.fromhex("001accff")
+UNSET = -1e32
+PROJECTION_TEXTS = {"datum_name": 180, "ellipsoid_name": 244, "datum_transform_name": 332, "units_name": 452, "projection_name": 524}
+PROJECTION_REALS = {"semi_major_axis": 308, "eccentricity": 316, "prime_meridian": 324, "units_factor": 516}
 
 
 @dataclass
@@ -43,7 +56,7 @@ class Survey:
 def to_bytes(dtype: int, values) -> bytes:
     if dtype < 0:
         return b"".join(v.encode("latin-1")[:-dtype].ljust(-dtype, b"\0") for v in values)
-    return np.ascontiguousarray(values).astype(cells.STORED[dtype]).tobytes()
+    return np.ascontiguousarray(values).astype(NUMBERS[dtype]).tobytes()
 
 
 def lzrw1(data: bytes, back: int | None) -> bytes:
@@ -70,17 +83,17 @@ def lzrw1(data: bytes, back: int | None) -> bytes:
 
 
 def framed(data: bytes, level: int, speed: str, width: int) -> bytes:
-    head = codecs.CHUNK_MAGIC + struct.pack("<ii", level, 0)
-    if level == codecs.SIZE:
+    head = CHUNK_MAGIC + struct.pack("<ii", level, 0)
+    if level == SIZE:
         return head + zlib.compress(data)
     out = head
     for i in range(0, max(len(data), 1), CHUNK):
         piece = data[i : i + CHUNK]
         if speed == "stored":
-            out += struct.pack("<iii", len(piece), len(piece) + 12, codecs.STORED) + piece
+            out += struct.pack("<iii", len(piece), len(piece) + 12, STORED) + piece
         else:
             packed = lzrw1(piece, width if speed == "copies" else None)
-            out += struct.pack("<iii", len(piece), len(packed) + 12, codecs.PACKED) + packed
+            out += struct.pack("<iii", len(piece), len(packed) + 12, PACKED) + packed
     return out
 
 
@@ -93,12 +106,12 @@ def block(index: int, raw: bytes, dtype: int, rows: int, level: int, speed: str,
         body = struct.pack("<iid", 0, 0, 1.0) + struct.pack("<ii", rows, dtype) + raw
         kind = 200
     pages = -(-(24 + len(body)) // page)
-    head = layout.BLOCK_MAGIC + struct.pack("<iiiii", pages, pages, index, 0, kind)
+    head = BLOCK_MAGIC + struct.pack("<iiiii", pages, pages, index, 0, kind)
     return (head + body).ljust(pages * page, b"\0")
 
 
 def record(name: str, fields: dict[int, bytes]) -> bytes:
-    out = bytearray(name.encode("latin-1")[:63].ljust(layout.RECORD, b"\0"))
+    out = bytearray(name.encode("latin-1")[:63].ljust(RECORD, b"\0"))
     for at, raw in fields.items():
         out[at : at + len(raw)] = raw
     return bytes(out)
@@ -112,15 +125,13 @@ def encode(s: Survey) -> bytes:
     i4 = lambda *v: struct.pack(f"<{len(v)}i", *v)
     symbols = b"".join(record(name, {76: i4(0)}) for name, _ in s.objects)
     symbols += record("", {76: i4(65536)}) * (n_objects - len(s.objects))
-    from surveyloom.sources.catalog import LINE_BLOCK
-
     lines = b"".join(record(name, {76: i4(category), 96: i4(0), 104: LINE_BLOCK}) for name, category in s.lines)
     lines = record("L0", {76: i4(65536)}) * shift + lines + record("", {76: i4(65536)})
     channels = b"".join(
         record(name, {76: struct.pack("<hh", dtype, 0), 84: struct.pack("<hh", 0, 10), 88: i4(3), 100: struct.pack("<d", 1.0), 108: struct.pack("<hh", 5, width)}) for name, dtype, width in s.channels
     ) + record("", {})
     users = b"".join(record("SUPER" if not u else f"user{u}", {76: i4(131072), 116: i4(-1)}) for u in range(s.users))
-    head_size = layout.DIRECTORY + layout.ENTRY.itemsize * index_slots
+    head_size = DIRECTORY + ENTRY.itemsize * index_slots
     tables = symbols + lines + (b"\0" * 64 if shift else b"") + channels + users
     start_page = -(-(head_size + len(tables)) // s.page)
     blocks, entries, page_at = [], {}, s.junk_pages
@@ -129,7 +140,7 @@ def encode(s: Survey) -> bytes:
     def cell(key: tuple[int, int], values) -> bytes:
         _, dtype, width = s.channels[key[1]]
         raw = to_bytes(dtype, values)
-        size = -dtype if dtype < 0 else np.dtype(cells.STORED[dtype]).itemsize
+        size = -dtype if dtype < 0 else np.dtype(NUMBERS[dtype]).itemsize
         return block((key[0] + shift) * n_chans + key[1], raw, dtype, s.rows_said.get(key, len(raw) // size), s.comp_level, s.speed, s.page, size)
 
     for key, values in sorted(s.cells.items()):
@@ -139,29 +150,29 @@ def encode(s: Survey) -> bytes:
             n = put(cell(key, v))
             if current:
                 slot = (key[0] + shift) * n_chans + key[1]
-                word = layout.LIVE_BIT | page_at
+                word = LIVE_BIT | page_at
                 wrong = s.invalid.get(key)
-                entries[slot] = (word + 1 if wrong == "page" else word & ~layout.LIVE_BIT if wrong == "flag" else word, n + 1 if wrong == "pages" else n)
+                entries[slot] = (word + 1 if wrong == "page" else word & ~LIVE_BIT if wrong == "flag" else word, n + 1 if wrong == "pages" else n)
                 if wrong == "index":
-                    entries[slot] = (layout.LIVE_BIT | s.junk_pages, n) if page_at != s.junk_pages else (word + 7, n)
+                    entries[slot] = (LIVE_BIT | s.junk_pages, n) if page_at != s.junk_pages else (word + 7, n)
                 if key in s.unlisted:
                     entries.pop(slot)
             page_at += n
     for i, (_, body) in enumerate(s.objects):
         pages = -(-(24 + len(body)) // s.page)
-        raw = layout.BLOCK_MAGIC + i4(pages, pages, data_slots + i, 0, 100) + body
+        raw = BLOCK_MAGIC + i4(pages, pages, data_slots + i, 0, 100) + body
         put(raw.ljust(pages * s.page, b"\0"))
-        entries[data_slots + i] = (layout.LIVE_BIT | page_at, pages)
+        entries[data_slots + i] = (LIVE_BIT | page_at, pages)
         page_at += pages
-    directory = np.zeros(index_slots, layout.ENTRY)
+    directory = np.zeros(index_slots, ENTRY)
     if s.directory:
         for slot, e in entries.items():
             directory[slot] = e
     head = bytearray(256)
-    head[:16] = layout.SIGNATURE
+    head[:16] = SIGNATURE
     for name, value in {"chans_max": n_chans, "blobs_max": n_objects, "lines_max": n_lines, "users_max": s.users, "index_slots": index_slots, "data_slots": data_slots, "page_size": s.page, "comp_level": s.comp_level}.items():
-        struct.pack_into("<i", head, layout.HEADER_WORDS[name], value)
-    struct.pack_into("<i", head, layout.START_PAGE, start_page)
+        struct.pack_into("<i", head, HEADER_WORDS[name], value)
+    struct.pack_into("<i", head, START_PAGE, start_page)
     front = bytes(head) + b"\0" * 24 + directory.tobytes() + tables
     return front.ljust(start_page * s.page, b"\0") + b"\xaa" * (s.junk_pages * s.page) + b"".join(blocks)
 
@@ -173,40 +184,40 @@ def handle(s: Survey, channel: int) -> str:
 
 def reg(entries: list[tuple[str, str]], nested: bytes | None = None, spare: int = 0) -> bytes:
     """A key/value object's bytes from +24 on."""
-    body = b"".join(f"{k}\0{v}\0".encode().ljust(registry.ENTRY, b"\0") for k, v in entries)
+    body = b"".join(f"{k}\0{v}\0".encode().ljust(256, b"\0") for k, v in entries)
     n = len(entries) - spare
     tail = struct.pack("<i", 0 if nested is None else 1) + (nested or b"\0\0\0\0")
-    inner = b"\0" * 16 + registry.REG + b"\0" * (registry.ENTRY_COUNT - 48) + struct.pack("<i", n) + body + tail
+    inner = b"\0" * 16 + b"REG\0" + b"\0" * (124 - 48) + struct.pack("<i", n) + body + tail
     return struct.pack("<i", len(inner)) + inner
 
 
 def maker(tool: str, label: str, params: list[tuple[str, str]], mark: bool = True) -> bytes:
     name, text = tool.encode() + b"\0", label.encode() + b"\0"
     lines = (b"\xef\xbb\xbf" if mark else b"") + "".join(f'{k}="{v}"\r\n' for k, v in params).encode() + b"\x1a"
-    head = registry.OBJECT_FRAME + b"\0" * 12 + b"MAKER".ljust(16, b"\0") + registry.MEMBER_FRAME + b"\0" * 28 + registry.TAG_BLOCK + b"MAKE" + b"\0" * 4
+    head = OBJECT_FRAME + b"\0" * 12 + b"MAKER".ljust(16, b"\0") + MEMBER_FRAME + b"\0" * 28 + TAG_BLOCK + b"MAKE" + b"\0" * 4
     return head + struct.pack("<i", len(name)) + name + b"\0\0" + struct.pack("<i", len(text)) + text + lines
 
 
 def projection(name: str, method: int, slots: list[float | None], datum="WGS 84", ellipsoid="WGS 84", transform: list[float] | None = None, units="m", texts: dict[str, str] | None = None) -> bytes:
-    out = bytearray(registry.PROJECTION_SIZE + 64)
+    out = bytearray(652 + 64)
     out[44:48] = b"IPJ\0"
-    out[96:104] = registry.PROJECTION_TAG + b"\x01\x00\x00\x00"
+    out[96:104] = b" JPI" + b"\x01\x00\x00\x00"
     out[104 : 104 + len(name) + 1] = name.encode() + b"\0"
-    struct.pack_into("<i", out, registry.METHOD_AT, method)
+    struct.pack_into("<i", out, 168, method)
     for k, v in ({"datum_name": datum, "ellipsoid_name": ellipsoid, "datum_transform_name": "[WGS 84] to WGS 84 - World", "units_name": units, "projection_name": name} | (texts or {})).items():
-        out[registry.TEXT_AT[k] : registry.TEXT_AT[k] + len(v)] = v.encode()
+        out[PROJECTION_TEXTS[k] : PROJECTION_TEXTS[k] + len(v)] = v.encode()
     for k, v in {"semi_major_axis": 6378137.0, "eccentricity": 0.081819190842621, "prime_meridian": 0.0, "units_factor": 1.0}.items():
-        struct.pack_into("<d", out, registry.REAL_AT[k], v)
-    struct.pack_into("<7d", out, registry.TRANSFORM_AT, *(transform or [registry.UNSET] + [0.0] * 5 + [1.0]))
+        struct.pack_into("<d", out, PROJECTION_REALS[k], v)
+    struct.pack_into("<7d", out, 396, *(transform or [UNSET] + [0.0] * 5 + [1.0]))
     for i, v in enumerate(slots):
-        struct.pack_into("<d", out, registry.SLOTS_AT + 8 * i, registry.UNSET if v is None else v)
+        struct.pack_into("<d", out, 588 + 8 * i, UNSET if v is None else v)
     struct.pack_into("<i", out, 24, len(out) - 28)
     return bytes(out[24:])
 
 
 def display_list(rows: list[tuple[str, int]], width: int = 82) -> bytes:
     body = b"".join(f"{label}\0{number}\0".encode().ljust(width, b"\0") for label, number in rows)
-    inner = b"\0" * 32 + registry.TAG_BLOCK + b"VV  " + struct.pack("<iii", 0, -width, len(rows)) + body
+    inner = b"\0" * 32 + TAG_BLOCK + b"VV  " + struct.pack("<iii", 0, -width, len(rows)) + body
     return struct.pack("<i", len(inner)) + inner
 
 

@@ -18,16 +18,31 @@ from surveyloom.functions.layout import LINE_CATEGORIES, LIVE_BIT, PAGE_MASK, SI
 from surveyloom.functions.layout import payload as declared
 from surveyloom.sources.survey import is_true, list_files
 
-# Fixed values that conforming files have: header words, channel and user record fields, line types and tail block.
-HEADER_BASELINE = {8: 268566528, 12: 264, 16: 0, 20: 0, 68: 0}
-CHANNEL_BASELINE = (1.0, 5)
-USER_BASELINE = (131072, -1)
 USER_FREE = 65536
-LINE_TYPES = (0, 2, 6)
-LINE_BLOCK = bytes.fromhex("aec59df414e384bcd6bf91c6176e05b5b5b89346")
-MEMBER_TAILS = {1: bytes([1]) * 16 + bytes(28) + struct.pack("<d", -1e32) * 8, 2: bytes([2]) * 16 + bytes(64), 3: bytes([3]) * 16 + bytes(64)}
-EXTENSION_PAYLOAD = 80
 EXTENSIONS = "Database Extension Objects"
+_UNSET_REALS = struct.pack("<d", -1e32) * 8
+#: What conforming files hold in a place, by the kind of record and the field (a byte offset, or a name).
+EXPECTED: dict[tuple[str, str], tuple] = {
+    ("header", "8"): (268566528,),
+    ("header", "12"): (264,),
+    ("header", "16"): (0,),
+    ("header", "20"): (0,),
+    ("header", "68"): (0,),
+    ("channel", "100"): (1.0,),
+    ("channel", "108"): (5,),
+    ("users", "in use"): (1,),
+    ("user", "category"): (131072,),
+    ("user", "116"): (-1,),
+    ("line", "type"): (0, 2, 6),
+    ("line", "104"): (bytes.fromhex("aec59df414e384bcd6bf91c6176e05b5b5b89346"),),
+    ("projection", "method"): tuple(registry.METHODS),
+    ("projection", "slot 7"): (None,),
+    ("projection", "member 1"): (bytes([1]) * 16 + bytes(28) + _UNSET_REALS,),
+    ("projection", "member 2"): (bytes([2]) * 16 + bytes(64),),
+    ("projection", "member 3"): (bytes([3]) * 16 + bytes(64),),
+    ("extensions", "payload size"): (80,),
+    ("creation", "flag"): (0,),
+}
 
 TABLES: dict[str, str] = {
     "headers": "path string, file_size long, magic_ok boolean, signature_common boolean, chans_max int, blobs_max int, lines_max int, users_max int, index_slots int, data_slots int, page_size int, comp_level int, compression_name string",
@@ -46,7 +61,7 @@ TABLES: dict[str, str] = {
     "maker_entries": "path string, chain_pos int, channel_slot int, channel string, tool string, label string, params array<struct<k: string, v: string>>",
     "display_entries": "path string, list_no int, symbol_slot int, pos int, label string, handle long, channel string",
     "chunks": "path string, offset long, decompressed_length int, chunk_length int, marker int, kind string",
-    "conformance": "path string, feature string, evidence string",
+    "conformance": "path string, record string, slot int, field string, value string",
     "diagnostics": "path string, code string, line string, channel string, offset long, message string",
 }
 
@@ -165,10 +180,9 @@ def _projection_texts(s: SurveyFile) -> Iterator[tuple]:
 
 def _makers(s: SurveyFile) -> Iterator[tuple]:
     for i, _, slot, name, data in _of_channels(s):
-        record = registry.nested(declared(data)) if len(data) >= 28 else None
-        found = registry.maker(record) if record is not None else None
+        found = registry.creation(registry.nested(declared(data)) or b"") if len(data) >= 28 else None
         if found:
-            yield i, slot, name, found[0], found[1], [{"k": k, "v": v} for k, v in found[2]]
+            yield i, slot, name, found["tool"], found["label"], [{"k": k, "v": v} for k, v in found["settings"].items()]
 
 
 def _displays(s: SurveyFile) -> Iterator[tuple]:
@@ -192,52 +206,42 @@ def _chunks(s: SurveyFile) -> Iterator[tuple]:
             data = f.read(piece + over)
             for at, size, span, marker in codecs.speed_chunks(data):
                 if at < piece:
-                    yield start + at, size, span, marker, "stored" if marker == codecs.STORED else "packed" if marker == codecs.PACKED else "unknown"
+                    yield start + at, size, span, marker, "cut" if marker is None else "stored" if marker == codecs.STORED else "packed" if marker == codecs.PACKED else "unknown"
 
 
-def _conformance(s: SurveyFile) -> Iterator[tuple]:
-    """Where a file leaves what conforming files have in common. Names, paths and values are no part of the evidence."""
-    odd = [(at, struct.unpack_from("<i", s.head, at)[0]) for at in HEADER_BASELINE if at + 4 <= len(s.head)]
-    odd = [f"word {at} = {v:#x}" for at, v in odd if v != HEADER_BASELINE[at]]
-    if odd:
-        yield "header words", "; ".join(odd)
-    shown = lambda xs: "; ".join(xs[:20])
-    fields = [(c.slot, struct.unpack_from("<d", c.raw, 100)[0], struct.unpack_from("<h", c.raw, 108)[0]) for c in s.channels]
-    odd = [f"channel {slot}: {a!r}, {b}" for slot, a, b in fields if (a, b) != CHANNEL_BASELINE]
-    if odd:
-        yield "channel record +108/+116", shown(odd)
+def _observed(s: SurveyFile) -> Iterator[tuple[str, int, str, object]]:
+    """(kind of record, its slot, field, value) of all that ``EXPECTED`` speaks of. Names, paths and texts are no part of it."""
+    yield from (("header", 0, str(at), struct.unpack_from("<i", s.head, at)[0]) for kind, at in ((k, int(f)) for k, f in EXPECTED if k == "header") if at + 4 <= len(s.head))
+    for c in s.channels:
+        yield "channel", c.slot, "100", struct.unpack_from("<d", c.raw, 100)[0]
+        yield "channel", c.slot, "108", struct.unpack_from("<h", c.raw, 108)[0]
     if s.channels_at is not None and len(s.users) == (s.header["users_max"] or 0):
-        live = [(int(u["category"]), int(u["i116"])) for u in s.users if u["name"].tobytes()[0] and not int(u["category"]) & USER_FREE]
-        if live != [USER_BASELINE]:
-            yield "user table", f"{len(live)} live records: " + shown([f"{c:#x}, {v}" for c, v in live])
-    if s.lines_exact:
-        odd = [f"line slot {x.slot}: type {x.type}" for x in s.lines if x.type not in LINE_TYPES]
-        if odd:
-            yield "line type", shown(odd)
-        odd = [f"line slot {x.slot}: {x.block.hex()}" for x in s.lines if x.block != LINE_BLOCK]
-        if odd:
-            yield "line record +104..+123", shown(odd)
-    maker_fields = []
+        used = [(i, u) for i, u in enumerate(s.users) if u["name"].tobytes()[0] and not int(u["category"]) & USER_FREE]
+        yield "users", 0, "in use", len(used)
+        for i, u in used:
+            yield "user", i, "category", int(u["category"])
+            yield "user", i, "116", int(u["i116"])
+    for x in s.lines if s.lines_exact else ():
+        yield "line", x.slot, "type", x.type
+        yield "line", x.slot, "104", x.block
     for slot, data in sorted(s.admin_objects.items()):
-        tag = data[44:48]
-        if tag == b"IPJ\0" and (p := registry.projection(data)):
-            if p["method_code"] not in registry.METHODS:
-                yield f"projection method code {p['method_code']}", f"object {slot}"
-            elif p["parameters"][7] is not None:
-                yield "projection parameter slot 7", f"object {slot}, method code {p['method_code']}"
-            for index, _, tail in registry.members(data):
-                if index in MEMBER_TAILS and tail != MEMBER_TAILS[index]:
-                    yield f"projection object member {index}", f"object {slot}: {tail[:64].hex()}"
-        elif tag == b"EXT\0" and (s.symbols or {}).get(slot) == EXTENSIONS:
-            size = struct.unpack_from("<i", data, 24)[0]
-            if size != EXTENSION_PAYLOAD:
-                yield "non-empty extension-object list", f"payload of {size} bytes"
-        elif tag == registry.REG and (record := registry.nested(data)) is not None and (at := registry.maker_field_at(record)) is not None:
-            value = struct.unpack_from("<H", record, at)[0]
-            if value:
-                maker_fields.append(f"object {slot}: {value:#06x}")
-    if maker_fields:
-        yield "MAKER field after the tool name", shown(maker_fields)
+        tag = _tag(data)
+        if tag == "IPJ" and (p := registry.projection(data)):
+            yield "projection", slot, "method", p["method_code"]
+            if p["method_code"] in registry.METHODS:
+                yield "projection", slot, "slot 7", p["parameters"][7]
+            yield from (("projection", slot, f"member {index}", tail) for index, _, tail in registry.members(data))
+        elif tag == "EXT" and (s.symbols or {}).get(slot) == EXTENSIONS:
+            yield "extensions", slot, "payload size", struct.unpack_from("<i", data, 24)[0]
+        elif tag == "REG" and (found := registry.creation(registry.nested(data) or b"")):
+            yield "creation", slot, "flag", found["flag"]
+
+
+def _conformance(s: SurveyFile) -> Iterator[tuple]:
+    """A row for each place where the file holds something else than conforming files do."""
+    for kind, slot, field, value in _observed(s):
+        if value not in EXPECTED.get((kind, field), (value,)):
+            yield kind, slot, field, value[:64].hex() if isinstance(value, bytes) else repr(value)
 
 
 def _diagnostics(s: SurveyFile, decode: bool) -> Iterator[tuple]:

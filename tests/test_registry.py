@@ -67,4 +67,4 @@ def test_display_lists(spark, tmp_path, width):
 
 
 def test_decoders_refuse_what_they_do_not_know():
-    assert R.settings(b"") is None and R.projection(b"\0" * 700) is None and R.maker(b"") is None and R.display_list(b"") is None and R.nested(b"x" * 200) is None
+    assert R.settings(b"") is None and R.projection(b"\0" * 700) is None and R.creation(b"") is None and R.display_list(b"") is None and R.nested(b"x" * 200) is None
