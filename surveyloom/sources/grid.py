@@ -1,13 +1,15 @@
 """``survey_grid``: cells of grid files; ``survey_grid_headers``: their headers, with what reading them finds.
 
-A packed grid is read by block, a plain one by runs of vectors; each is an input partition. Values are raw: scale, rotation
-and ordering are columns of the header. With the option ``coordinates``, x and y are added from origin, spacing and rotation.
+A packed grid is read by block, a plain one by runs of vectors; each is an input partition, which carries the file's plan.
+From ``filesAsPartitions`` files on each file is one and is planned by its executor. Values are raw: scale, rotation and
+ordering are columns of the header. With the option ``coordinates``, x and y are added from origin, spacing and rotation.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +18,17 @@ from pyspark.sql.types import StructType
 
 from surveyloom.functions import grids
 from surveyloom.functions.layout import open_file
-from surveyloom.sources.survey import is_true, list_files
+from surveyloom.sources.survey import FILES_AS_PARTITIONS, SCHEMA_THREADS, is_true, list_files
 
 ROWS = 1 << 16
 _VALUE = {"<i1": "byte", "<u1": "short", "<i2": "short", "<u2": "int", "<i4": "int", "<u4": "long", "<f4": "float", "<f8": "double"}
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, index: int):
-        self.path, self.index = path, index
+    """One part of a planned grid, or (grid None) all of them, to be planned by whoever reads."""
+
+    def __init__(self, path: str, index: int = 0, grid: grids.Grid | None = None):
+        self.path, self.index, self.grid = path, index, grid
 
 
 class GridReader(DataSourceReader):
@@ -36,21 +40,27 @@ class GridReader(DataSourceReader):
         return grids.plan(path, int(self.options.get("partitionbytes", 32 << 20)))
 
     def partitions(self) -> list[InputPartition]:
-        return [Part(p, i) for p in self.files for i in range(len(self.plan(p).parts))] or [Part("", 0)]
+        if len(self.files) >= int(self.options.get("filesaspartitions", FILES_AS_PARTITIONS)):
+            return [Part(p) for p in self.files]
+        with ThreadPoolExecutor(SCHEMA_THREADS) as pool:
+            return [Part(g.path, i, g) for g in pool.map(self.plan, self.files) for i in range(len(g.parts))] or [Part("")]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        grid = self.plan(partition.path)
-        first, n = grid.parts[partition.index][:2]
-        with open_file(partition.path) as f:
-            if grid.packed:  # blocks after one that can't be decoded don't count
-                for before in grid.parts[: partition.index]:
-                    if before[3] < 0 or before[2] + before[3] > f.size():
-                        return
-            values = grids.read_part(grid, grid.parts[partition.index], f)
-        if values is None:
-            return
+        grid = partition.grid or self.plan(partition.path)
+        for index in range(len(grid.parts)) if partition.grid is None else [partition.index]:
+            with open_file(partition.path) as f:
+                if grid.packed:  # blocks after one that can't be decoded don't count
+                    for before in grid.parts[:index]:
+                        if before[3] < 0 or before[2] + before[3] > f.size():
+                            return
+                values = grids.read_part(grid, grid.parts[index], f)
+            if values is None:
+                return
+            yield from self.rows(grid, values, *grid.parts[index][:2])
+
+    def rows(self, grid: grids.Grid, values: np.ndarray, first: int, n: int) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         for start in range(0, min(n, len(values)), ROWS):
@@ -77,7 +87,8 @@ class GridSource(DataSource):
         return "survey_grid"
 
     def schema(self) -> str:
-        kinds = {_VALUE[grids.plan(p).dtype] for p in list_files(self.options["path"])}
+        with ThreadPoolExecutor(SCHEMA_THREADS) as pool:
+            kinds = {_VALUE[g.dtype] for g in pool.map(grids.plan, list_files(self.options["path"]))}
         kind = next(iter(kinds)) if len(kinds) == 1 else "double"
         extra = ", x double, y double" if is_true(self.options, "coordinates") else ""
         return f"path string, grid_row int, grid_col int, value {kind}{extra}"
@@ -88,7 +99,7 @@ class GridSource(DataSource):
 
 class GridHeaderReader(GridReader):
     def partitions(self) -> list[InputPartition]:
-        return [Part(p, 0) for p in self.files] or [Part("", 0)]
+        return [Part(p) for p in self.files] or [Part("")]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         if not partition.path:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ RESERVED = ("path", "line", "line_category", "line_slot", "fid")
 ROWS = 65536
 PARTITION_BYTES = 48 << 20
 FILES_AS_PARTITIONS = 64
+SCHEMA_THREADS = 16
 
 
 def list_files(path: str, suffixes: tuple[str, ...] = ()) -> list[str]:
@@ -119,10 +121,12 @@ def names_of(options: dict, name: str) -> set[str] | None:
 
 
 class Lines(InputPartition):
-    """Some lines of a file, or (slots None) all of them, to be found by whoever reads."""
+    """Some lines of a file with their blocks and column names, or (lines None) all of them, to be found by whoever reads."""
 
-    def __init__(self, path: str, slots: list[int] | None):
-        self.path, self.slots = path, slots
+    def __init__(self, path: str, lines: list[Line] | None, survey: SurveyFile | None = None, names: dict[int, str] | None = None):
+        self.path, self.lines, self.names = path, lines, names
+        slots = {x.slot for x in lines or ()}
+        self.live = {k: b for k, b in survey.live.items() if k[0] in slots} if survey else {}
 
 
 class SurveyReader(DataSourceReader):
@@ -147,31 +151,37 @@ class SurveyReader(DataSourceReader):
         out: list[InputPartition] = []
         for path in files:
             survey = self.survey(path)
+            names = column_names(survey)
             page = survey.header["page_size"] or 1
             now, size = [], 0
             for line in self.wanted(survey):
                 own = sum(int(b["n_pages"]) for _, b in survey.on_line(line)) * page
                 if now and size + own > most:
-                    out.append(Lines(path, now))
+                    out.append(Lines(path, now, survey, names))
                     now, size = [], 0
-                now.append(line.slot)
+                now.append(line)
                 size += own
             if now:
-                out.append(Lines(path, now))
+                out.append(Lines(path, now, survey, names))
         return out or [Lines("", [])]
 
     def read(self, partition: Lines) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        survey = self.survey(partition.path)
-        names = column_names(survey)
-        lines = self.wanted(survey)
-        if partition.slots is not None:
-            lines = [x for x in lines if x.slot in set(partition.slots)]
+        survey, lines = self.opened(partition)
+        names = column_names(survey) if partition.names is None else partition.names
         with open_file(partition.path) as f:
             for line in lines:
                 yield from self.rows(survey, f, line, names)
 
+    def opened(self, partition: Lines) -> tuple[SurveyFile, list[Line]]:
+        """The partition's file and lines; of the file only its tables are read where the partition knows the blocks."""
+        survey = self.survey(partition.path)
+        if partition.lines is None:
+            return survey, self.wanted(survey)
+        survey.adopt(partition.lines, partition.live)
+        return survey, partition.lines
+
     def rows(self, survey: SurveyFile, f, line: Line, names: dict[int, str]) -> Iterator[pa.RecordBatch]:
         asked = {x.name for x in self.schema.fields}
         own = survey.on_line(line)
@@ -238,18 +248,20 @@ class SurveySource(DataSource):
 
     def schema(self) -> StructType:
         kinds: dict[str, tuple[str, dict]] = {}
-        for path in list_files(self.options["path"]):
-            survey = SurveyFile(path, is_true(self.options, "includeunlisted"))
-            by_slot = {c.slot: c for c in survey.channels}
-            for slot, name in column_names(survey).items():
-                c = by_slot[slot]
-                kind = cells.spark_type(c.dtype, c.width)
-                old = kinds.get(name)
-                kinds[name] = (common_type(old[0], kind, name) if old else kind, old[1] if old else field_metadata(c))
+        with ThreadPoolExecutor(SCHEMA_THREADS) as pool:  # reading waits for the store
+            for found in pool.map(self._columns, list_files(self.options["path"])):
+                for name, kind, metadata in found:
+                    old = kinds.get(name)
+                    kinds[name] = (common_type(old[0], kind, name) if old else kind, old[1] if old else metadata)
         only = names_of(self.options, "channels")
         fields = [StructField(n, spark_type(t)) for n, t in (("path", "string"), ("line", "string"), ("line_category", "string"), ("line_slot", "int"), ("fid", "int"))]
         return StructType(fields + [StructField(n, spark_type(t), metadata=m) for n, (t, m) in kinds.items() if only is None or n in only])
 
+    def _columns(self, path: str) -> list[tuple[str, str, dict]]:
+        survey = SurveyFile(path, is_true(self.options, "includeunlisted"))
+        by_slot = {c.slot: c for c in survey.channels}
+        return [(name, cells.spark_type(by_slot[slot].dtype, by_slot[slot].width), field_metadata(by_slot[slot])) for slot, name in column_names(survey).items()]
+
     def reader(self, schema: StructType) -> DataSourceReader:
         return (PushingSurveyReader if is_true(self.options, "pushdown") else SurveyReader)(schema, self.options)
 
@@ -260,9 +272,8 @@ class CellsReader(SurveyReader):
     def read(self, partition: Lines) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        survey = self.survey(partition.path)
+        survey, lines = self.opened(partition)
         only = names_of(self.options, "channels")
-        lines = [x for x in self.wanted(survey) if partition.slots is None or x.slot in set(partition.slots)]
         with open_file(partition.path) as f:
             for line in lines:
                 for c, block in survey.on_line(line):

@@ -99,7 +99,7 @@ def test_conformance(spark, tmp_path):
     data = bytearray(encode.encode(basic(users=2)))
     data[8:12] = b"\1\0\0\0"
     odd = load(spark, write(tmp_path, bytes(data), "odd"), "survey_catalog", table="conformance")
-    assert rows(odd, "feature") == [("header words",), ("user table",)]
+    assert rows(odd, "record", "field", "value")[:2] == [("header", "8", "1"), ("users", "in use", "2")]
 
 
 def test_grids(spark, tmp_path):
@@ -114,6 +114,14 @@ def test_grids(spark, tmp_path):
         assert load(spark, path, "survey_grid_headers", validate="true").first()["diagnostics"] == []
 
 
+def test_many_grids_are_planned_by_their_readers(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path, encode.grid(np.arange(6, dtype="<f4").reshape(3, 2) + i, i == 1), f"{i}.grid")
+    few = load(spark, str(tmp_path), "survey_grid")
+    many = load(spark, str(tmp_path), "survey_grid", filesAsPartitions=2)
+    assert many.rdd.getNumPartitions() == 3 and rows(many, "path", "grid_row", "grid_col", "value") == rows(few, "path", "grid_row", "grid_col", "value")
+
+
 def test_broken_grids(spark, tmp_path):
     values = np.arange(12, dtype="<i2").reshape(4, 3)
     data = encode.grid(values, True, sign=1)
