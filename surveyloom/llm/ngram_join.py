@@ -40,7 +40,8 @@ SALT_ROWS = 1 << 15
 SEEDS = (1, 2)
 SLICE_BYTES = 1 << 20
 MOST_BITS = 1 << 28
-_TOP = np.uint64(1 << 63)
+_TOP, _MAYBE_BITS = np.uint64(1 << 63), 22
+_MAYBE = np.uint64((1 << _MAYBE_BITS) - 1)
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int):
@@ -55,23 +56,31 @@ def prefix_length(n: int) -> int:
 class Order:
     """The global order: an n-gram's key is half its hash, or, if it is frequent, above all of those by its rank.
 
-    What is frequent is told by the remainder of the hash by ``space``; the quotient stays in the key, so that the keys of
-    two n-grams are equal only if their hashes are.
+    What is frequent is told by the lower bits of the hash, as many as ``space`` (a power of two) has; the upper ones stay in the
+    key, so that the keys of two n-grams are equal only if their hashes are.
     """
 
     def __init__(self, hot: np.ndarray, counts: np.ndarray, salt_rows: int = SALT_ROWS, space: int = 1 << 63):
         by = np.argsort(hot)
-        self.space, self.salt_rows = np.uint64(space), salt_rows
-        self.shift = np.uint64((((1 << 63) - 1) // space).bit_length())  # room for the quotient
+        self.mask, self.bits, self.salt_rows = np.uint64(space - 1), np.uint64(space.bit_length() - 1), salt_rows
+        self.shift = np.uint64(63) - self.bits  # room for the upper bits
         self.hot, self.rank, self.by_rank = hot[by], by.astype(np.uint64), counts
+        # Most n-grams are not frequent, which a small table tells of nearly all without a search.
+        self.maybe = np.zeros(1 << _MAYBE_BITS, bool)
+        self.maybe[self.hot & _MAYBE] = True
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         halves = hashes >> np.uint64(1)
         if not len(self.hot):
             return halves
-        short = halves % self.space
+        own = np.flatnonzero(self.maybe[halves & self.mask & _MAYBE])
+        short = halves[own] & self.mask
         at = np.minimum(np.searchsorted(self.hot, short), len(self.hot) - 1)
-        return np.where(self.hot[at] == short, _TOP | self.rank[at] << self.shift | halves // self.space, halves)
+        found = self.hot[at] == short
+        own, at = own[found], at[found]
+        out = halves.copy()
+        out[own] = _TOP | self.rank[at] << self.shift | halves[own] >> self.bits
+        return out
 
     def salts(self, keys: np.ndarray) -> np.ndarray:
         """How many places the postings of each key are dealt to."""
@@ -152,8 +161,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[list
 def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_rows: int = SALT_ROWS) -> Order:
     """Counts of what is first by hash alone, and as much again, over all documents; the most frequent, ``MOST_HOT`` at most, come to the driver.
 
-    An n-gram is counted by the remainder of its hash by 2 ** 32 times the number of buckets: four bytes in its bucket. Each
-    slice sends it once, with its count if it is there more often.
+    An n-gram is counted by 32 bits of its hash and those that name its bucket (``buckets`` is a power of two): four bytes in its
+    bucket. Each slice sends it once, with its count if it is there more often.
     """
     space = buckets << 32
 
@@ -162,8 +171,8 @@ def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_row
             for part in common.slices(batch, "text", SLICE_BYTES):
                 sets = ngram_sets(common.text_bytes(part.column("text")))
                 keys = np.concatenate([s[: COUNTED * prefix_length(len(s))] for s in sets if len(s)] or [np.zeros(0, np.uint64)])
-                short, n = np.unique(keys % np.uint64(space), return_counts=True)
-                bucket, rest = (short % np.uint64(buckets)).astype(np.int64), (short // np.uint64(buckets)).astype(np.uint32)
+                short, n = np.unique(keys & np.uint64(space - 1), return_counts=True)
+                bucket, rest = (short & np.uint64(buckets - 1)).astype(np.int64), (short >> np.uint64(buckets.bit_length() - 1)).astype(np.uint32)
                 for several in (False, True):
                     own = (n > 1) == several
                     rows = list(_packed(bucket[own], [rest[own], n[own].astype(np.uint32)]))
@@ -355,7 +364,7 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)["doc_id"]
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     order = frequent_ngrams(docs.select("text"), buckets, hot_from, salt_rows)
     handle = spark.sparkContext.broadcast(order)  # MOST_HOT keys at most
 
@@ -396,7 +405,7 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             times = handle.value.salts(key)
             salt = np.where(times > 1, (wordhash.mix(cls.view(np.uint64)) % times.astype(np.uint64)).astype(np.int64), -1).astype(np.int32)
             spot = wordhash.mix(key + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            packed = list(_packed((spot % np.uint64(buckets)).astype(np.int64), [key, salt, cls, n, place], narrow=True))
+            packed = list(_packed((spot & np.uint64(buckets - 1)).astype(np.int64), [key, salt, cls, n, place], narrow=True))
             cols = [pa.array([b for b, _ in packed], pa.int32()), *[pa.array([r[i] for _, r in packed], pa.binary()) for i in range(5)]]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
