@@ -39,6 +39,27 @@ def lzrw1(data: bytes, at: int, size: int) -> bytes:
             out += data[at : at + 16]
             at += 16
             continue
+        if size - len(out) >= 256 and at + 32 <= end:  # neither can end within this group
+            left = 16
+            while left:
+                literals = (control & -control).bit_length() - 1 if control else left
+                if literals:
+                    out += data[at : at + literals]
+                    at += literals
+                    left -= literals
+                    control >>= literals
+                if not left:
+                    break
+                high = data[at]
+                back, n = (high & 0xF0) << 4 | data[at + 1], (high & 0x0F) + 1
+                at += 2
+                left -= 1
+                control >>= 1
+                if not 0 < back <= len(out):
+                    raise CodecError(f"copy from {back} bytes back, of {len(out)}")
+                start = len(out) - back
+                out += out[start : start + n] if n <= back else (out[start:] * (n // back + 1))[:n]  # a copy may run into what it writes
+            continue
         for bit in range(16):
             room = size - len(out)
             if not room:

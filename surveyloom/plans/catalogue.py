@@ -200,9 +200,10 @@ def cells_long(spark, sf):
 # What a file says about itself.
 
 
-@query("select 'NONE' as compression_name, true as magic_ok, cast(6 as integer) as chans_max, cast(6 as integer) as lines_max, cast(36 as integer) as data_slots, cast(1024 as integer) as page_size")
+@query("""select 'NONE' as compression_name, true as magic_ok, true as signature_common, cast(6 as integer) as chans_max, cast(3 as integer) as blobs_max, cast(6 as integer) as lines_max, cast(1 as integer) as users_max,
+cast(39 as integer) as index_slots, cast(36 as integer) as data_slots, cast(1024 as integer) as page_size, cast(0 as integer) as comp_level""")
 def catalog_headers(spark, sf):
-    return load(spark, X.orders_survey(spark, sf, "scan_wide"), "survey_catalog", table="headers").select("compression_name", "magic_ok", "chans_max", "lines_max", "data_slots", "page_size")
+    return load(spark, X.orders_survey(spark, sf, "scan_wide"), "survey_catalog", table="headers").drop("path", "file_size")
 
 
 @query("""select cast(s as integer) as channel_slot, n as name, t as type_name, cast(w as integer) as string_width from (values
@@ -247,9 +248,56 @@ def diagnostics_validate(spark, sf):
     return load(spark, path, "survey_catalog", table="diagnostics", validate="true").select("line", "code", "channel")
 
 
-@query("select cast(0 as bigint) as findings")
+@query("""select * from (values ('header', '16', '9'), ('channel', '108', '6'), ('users', 'in use', '2'), ('line', 'type', '3'), ('line', '104', '00c59df414e384bcd6bf91c6176e05b5b5b89346'),
+('projection', 'slot 7', '4.0'), ('projection', 'method', '77'), ('extensions', 'payload size', '84'), ('creation', 'flag', '7')) v(record, field, value)""")
 def conformance(spark, sf):
-    return load(spark, X.orders_survey(spark, sf, "scan_wide"), "survey_catalog", table="conformance").agg(F.count(F.lit(1)).alias("findings"))
+    """What no conforming file holds, of a file with one such thing of each kind; a clean file beside it adds nothing."""
+    paths = ",".join([X.odd_survey(spark, sf), X.orders_survey(spark, sf, "scan_wide")])
+    return load(spark, paths, "survey_catalog", table="conformance").select("record", "field", "value")
+
+
+_BROKEN = """('bad magic', 'BAD_MAGIC', 1), ('short header', 'HEADER_TRUNCATED', 1), ('short header', 'CHANNEL_TABLE_NOT_FOUND', 1), ('short header', 'LINE_TABLE_NOT_FOUND', 1), ('mid header', 'MID_HEADER', 1), ('slack', 'SLACK', 1), ('past end', 'PAST_EOF', 1), ('past end', 'SHORT_DATA', 1),
+('no pages', 'BAD_NPAGES', 1), ('no magic', 'MAGIC_MISMATCH', 1), ('junk pages', 'PAGES_SKIPPED', 1), ('short data', 'SHORT_DATA', 1), ('ragged array', 'RAGGED_ARRAY', 1),
+('unknown type', 'UNKNOWN_TYPE', 2), ('cut zlib', 'PAST_EOF', 1), ('cut zlib', 'SHORT_COMPRESSED', 1), ('cut zlib', 'ZLIB_FAIL', 1), ('bad zlib', 'ZLIB_FAIL', 2), ('bad lzrw1', 'LZRW1_FAIL', 1), ('unknown subtype', 'UNKNOWN_SUBTYPE', 1)"""
+
+
+@query(f"select file, code, cast(n as bigint) as n from (values {_BROKEN}) v(file, code, n)")
+def diagnostics_broken(spark, sf):
+    """Each kind of damage to headers, chain and blocks has its code; what follows from it is left out."""
+    paths = X.broken_surveys(spark, sf)
+    found = load(spark, ",".join(paths.values()), "survey_catalog", table="diagnostics", validate="true").where("code <> 'SHORT_CHANNEL'")
+    name = F.regexp_replace(F.regexp_extract("path", "broken/([^/]*)[.]survey$", 1), "-", " ")
+    return found.groupBy(name.alias("file"), "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select * from (values ('REG_CONFLICT', 'raw_mag'), ('IPJ_TEXT_MISMATCH', null)) v(code, channel)""")
+def diagnostics_registry(spark, sf):
+    return Survey(spark, X.registry_survey(spark, sf)).diagnostics().where("code like 'REG%' or code like 'IPJ%' or code like 'MAKER%' or code like 'ROLE%'").select("code", "channel")
+
+
+@query("""with l as (select o_orderpriority as line, row_number() over (order by o_orderpriority) - 1 as slot, count(*) as n from orders group by 1)
+select cast(l.slot * 6 + c.pos as integer) as blob_index, cast(l.slot as integer) as line_slot, cast(c.pos as integer) as channel_slot, cast(n as integer) as row_count, c.code as gs_type_code, false as is_packed
+from l, (values (0, 8), (1, 8), (2, -1), (3, 5), (4, 8)) c(pos, code)""")
+def catalog_blobs(spark, sf):
+    return load(spark, X.orders_survey(spark, sf, "scan_wide"), "survey_catalog", table="blobs").select("blob_index", "line_slot", "channel_slot", "row_count", "gs_type_code", "is_packed")
+
+
+@query("""select cast(slot as integer) as symbol_slot, name from (values (3, 'roles'), (4, 'crs'), (5, 'crs2'), (6, 'text'), (7, 'bad text'), (9, 'Display List'), (10, 'Other')) v(slot, name)""")
+def catalog_symbols(spark, sf):
+    return load(spark, X.registry_survey(spark, sf), "survey_catalog", table="symbols").where("name not like '\\\\_\\\\_%'").select("symbol_slot", "name")
+
+
+@query("""select * from (values ('REG', cast(8 as bigint)), ('IPJ', cast(2 as bigint)), ('', cast(1 as bigint))) v(tag, n)""")
+def catalog_admin_objects(spark, sf):
+    return load(spark, X.registry_survey(spark, sf), "survey_catalog", table="admin_objects").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with n as (select o_orderpriority as line, count(*) as n from orders group by 1)
+select 'stored' as kind, cast(sum(case when n * w % 16368 = 0 then 16368 else n * w % 16368 end) as bigint) as decompressed from n, (values (8), (8), (1), (8), (8)) c(w) where n * w <= 16368""")
+def catalog_chunks(spark, sf):
+    """First chunks of blocks that have one chunk only."""
+    found = load(spark, X.orders_survey(spark, sf, "scan_stored_raw", comp_level=1, speed="stored"), "survey_catalog", table="chunks")
+    return found.where("decompressed_length < 16368").groupBy("kind").agg(F.sum("decompressed_length").alias("decompressed"))
 
 
 @query("""select line, line_category, cast(fid as integer) as fid, mag, mag1, mag2, cast(cl as integer) as channel_line, cast(cf as integer) as channel_fid from (values
@@ -331,7 +379,52 @@ def registry_display(spark, sf):
 f as (select line, fid from (select distinct line from o), range((select max(fid) + 1 from o)) t(fid))
 select f.line, cast(f.fid as integer) as fid, coalesce(o_orderkey, -9223372036854775808) as order_key, coalesce(cust, -9223372036854775808) as cust_key from f left join o on f.line = o.line and f.fid = o.fid""")
 def densify(spark, sf):
-    return Survey(spark, X.sparse_survey(spark, sf)).dense()
+    return Survey(spark, X.sparse_survey(spark, sf)).dense().drop("line_slot", "line_category")
+
+
+_DUMMY = "-1e32::double"
+
+
+@query(f"""select cast(slot as integer) as line_slot, line, cast(fid as integer) as fid, mag, d0, d2 from (values
+(0, 'L1', 0, 1.0::double, 0.0::double, 2.0::double), (0, 'L1', 1, 2.0, 3.0, 5.0), (0, 'L1', 2, {_DUMMY}, {_DUMMY}, {_DUMMY}),
+(1, 'L1', 0, 5.0, {_DUMMY}, {_DUMMY}), (1, 'L1', 1, 6.0, {_DUMMY}, {_DUMMY}), (1, 'L1', 2, 7.0, {_DUMMY}, {_DUMMY}),
+(2, 'L2', 0, 9.0, {_DUMMY}, {_DUMMY}), (2, 'L2', 1, {_DUMMY}, {_DUMMY}, {_DUMMY}), (2, 'L2', 2, {_DUMMY}, {_DUMMY}, {_DUMMY})) v(slot, line, fid, mag, d0, d2)""")
+def densify_repeated(spark, sf):
+    """Two lines of one name stay two, and array channels are filled too."""
+    wide = Survey(spark, X.repeated_survey(spark, sf)).dense()
+    return wide.select("line_slot", "line", "fid", "mag", F.col("depths")[0].alias("d0"), F.col("depths")[2].alias("d2"))
+
+
+@query("""select line, cast(fid as integer) as fid, x, y, z, mag from (values ('L0', 0, 0.0::double, 100.0::double, 200.0::double, 300.0::double), ('L0', 1, 1.0, 101.0, 201.0, 301.0),
+('L2', 0, 20.0, 120.0, 0.0, 320.0), ('L2', 1, 21.0, 121.0, 0.0, 321.0), ('L3', 0, 30.0, 130.0, 0.0, 330.0), ('L3', 1, 31.0, 131.0, 0.0, null)) v(line, fid, x, y, z, mag)""")
+def points_by_line(spark, sf):
+    """A line of unequal coordinates isn't placed; heights of another length are 0."""
+    return Survey(spark, X.places_survey(spark, sf)).points(z="alt").select("line", "fid", "x", "y", "z", "mag")
+
+
+@query("""select o_orderpriority as line, 'total_price' as channel, count(*) as row_count, cast(0 as bigint) as timestamp_raw from orders where o_orderpriority = '2-HIGH' group by 1""")
+def block_lookup(spark, sf):
+    """The first copy of one cell's block."""
+    s = Survey(spark, X.orders_survey(spark, sf, "scan_wide"))
+    return s.block("2-HIGH", "total_price").select(F.lit("2-HIGH").alias("line"), F.lit("total_price").alias("channel"), F.col("row_count").cast("long").alias("row_count"), F.col("timestamp_raw").cast("long").alias("timestamp_raw"))
+
+
+@query("select 'cust_key' as channel, o_orderstatus as line from (select distinct o_orderstatus from orders) where o_orderstatus <> 'O'")
+def absent_cells(spark, sf):
+    return Survey(spark, X.sparse_survey(spark, sf)).absent_cells().select("channel", "line")
+
+
+@query("""with n as (select o_orderpriority as line, count(*) as n, max(length(o_orderstatus)) as w from orders group by 1)
+select channel, cast(count(*) as bigint) as lines, cast(max(n) as integer) as most_rows, cast(max(case when channel = 'status' then w end) as integer) as widest
+from n, (values ('order_key'), ('cust_key'), ('status'), ('total_price'), ('order_us')) c(channel) group by 1""")
+def channel_extents(spark, sf):
+    return Survey(spark, X.orders_survey(spark, sf, "scan_wide")).extents().select("channel", "lines", "most_rows", "widest")
+
+
+@query("select 'total_price' as channel, count(distinct o_orderpriority) as skipped from orders where o_orderpriority in ('2-HIGH', '3-MEDIUM')")
+def skipped_blocks(spark, sf):
+    """Cells that the directory doesn't list, by channel."""
+    return Survey(spark, X.orders_survey(spark, sf, "unlisted", _unlisted)).skipped().select("channel", "skipped")
 
 
 @query(f"select o_orderpriority as line, {_FID} as fid, cast(o_custkey as double) as x, o_totalprice as y, 0.0::double as z, o_orderkey as order_key from orders")
@@ -405,6 +498,13 @@ def reserved_rename(spark, sf):
     return V.renamed_reserved(names, "name", ("path", "line", "line_category", "line_slot", "fid")).select("name", "column_name")
 
 
+@query("select event_id, case when event_id % 10 > 0 then epoch_us(to_timestamp(1700000000 + event_id * 61)) end as at_us from events")
+def raw_timestamps(spark, sf):
+    """Seconds as blocks hold them, of which one value means none."""
+    raw = F.when(F.col("event_id") % 10 > 0, 1700000000 + F.col("event_id") * 61).otherwise(-(2**31))
+    return table(spark, sf, "events").select("event_id", F.unix_micros(E.timestamp(raw)).alias("at_us"))
+
+
 @query("select event_id, cast(floor((event_id - 500) / 7.0) as bigint) as line_slot, ((event_id - 500) % 7 + 7) % 7 as channel_slot from events")
 def slot_divmod(spark, sf):
     index, chans = F.col("event_id") - 500, F.lit(7).cast("long")
@@ -434,20 +534,21 @@ def melt_cells(spark, sf):
     return A.long_form(table(spark, sf, "orders"), ["o_orderkey"], ["o_totalprice", "o_custkey"])
 
 
-_DENSE_SOURCE = _STATIONS.format("purchase")
+_DENSE_SOURCE = "select user_id, cast(row_number() over (partition by user_id order by event_id) - 1 as integer) as fid, value from events"
 
 
 @query(f"""with s as ({_DENSE_SOURCE}), f as (select user_id, fid from (select distinct user_id from s), range((select max(fid) + 1 from s)) t(fid))
 select f.user_id, cast(f.fid as integer) as fid, coalesce(s.value, -1e32) as value from f left join s on f.user_id = s.user_id and f.fid = s.fid""")
 def densify_fill(spark, sf):
-    return A.dense(_channel(spark, sf, "purchase", "value"), "user_id", "fid", {"value": -1e32})
+    return A.dense(A.stations(table(spark, sf, "events"), ["user_id"], ["event_id"]).select("user_id", "fid", "value"), "user_id", "fid", {"value": -1e32})
 
 
-@query("""select u.user_id, t.event_type from (select distinct user_id from events) u, (select distinct event_type from events) t
-where not exists (select 1 from events e where e.user_id = u.user_id and e.event_type = t.event_type)""")
+@query("""with e as (select user_id, event_type, cast(ts as date) as day from events)
+select u.user_id, t.event_type, t.day from (select distinct user_id from e) u, (select distinct event_type, day from e) t
+where not exists (select 1 from e where e.user_id = u.user_id and e.event_type = t.event_type and e.day = t.day)""")
 def missing_cells(spark, sf):
-    rows = table(spark, sf, "events")
-    return A.missing(rows.select("user_id").distinct(), rows.select("event_type").distinct(), rows, ["user_id", "event_type"])
+    rows = table(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
+    return A.missing(rows.select("user_id").distinct(), rows.select("event_type", "day").distinct(), rows, ["user_id", "event_type", "day"])
 
 
 @query("""with c as (select p_brand, p_type as t from part where p_size < 12), k as (select distinct p_type as t from part where p_retailprice > (select quantile_disc(p_retailprice, 0.9) from part)),
@@ -465,10 +566,11 @@ def kv_collapse(spark, sf):
     return V.collapse(rows, ["user_id", "key"], "value", "event_id")
 
 
-@query("""select event_type, min(user_id) as first, count(*) as length from (select event_type, user_id, user_id - row_number() over (partition by event_type order by user_id) as island
-from (select distinct event_type, user_id from events)) group by event_type, island""")
+@query("""with e as (select distinct user_id, date_diff('hour', timestamp '2024-01-01', ts) as hour from events)
+select user_id, min(hour) as first, count(*) as length from (select *, hour - row_number() over (partition by user_id order by hour) as island from e) group by user_id, island""")
 def page_runs(spark, sf):
-    return A.runs(table(spark, sf, "events"), ["event_type"], "user_id")
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    return A.runs(table(spark, sf, "events").select("user_id", hour.alias("hour")), ["user_id"], "hour")
 
 
 @query("select event_type, min(event_id) as first_pos from events group by 1")
@@ -481,11 +583,11 @@ def duplicate_pairs(spark, sf):
     return V.duplicates(table(spark, sf, "events"), ["user_id", "event_type"])
 
 
-@query("""with s as (select s_suppkey as slot from supplier where s_suppkey % 3 = 0), h as (select distinct s_suppkey + 2 as slot from supplier where s_suppkey % 3 = 0),
+@query("""with s as (select 3 * s_suppkey as slot from supplier), h as (select distinct 3 * s_suppkey + 2 as slot from supplier),
 k as (select cast(t.o - 4 as integer) as shift, (select count(*) from s where s.slot + t.o - 4 in (select slot from h)) as score from range(9) t(o))
 select shift, score, row_number() over (order by score desc, abs(shift), shift desc) = 1 as chosen from k""")
 def calibrate_offsets(spark, sf):
-    slots = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("slot"))
+    slots = table(spark, sf, "supplier").select((3 * F.col("s_suppkey")).alias("slot"))
     return A.calibrate(slots, slots.select((F.col("slot") + 2).alias("slot")))
 
 
@@ -508,7 +610,7 @@ def gxf_text_parse(spark, sf):
 @query("select * from (values ('a', true), ('b', false), ('c', null), ('d', null), ('e', false)) v(id, fits)")
 def gxf_text_match(spark, sf):
     slots = F.array(*[F.lit(v).cast("double") for v in (0.0, 141.0, None, None, 0.9996, 500000.0, 10000000.0, None)])
-    return spark.createDataFrame(_TEXTS, "id string, text string").select("id", E.values_fill_slots(E.projection_values(F.col("text")), slots).alias("fits"))
+    return spark.createDataFrame(_TEXTS, "id string, text string").select("id", E.holds_in_order(E.projection_values(F.col("text")), slots).alias("fits"))
 
 
 @query("select s_suppkey, round(degrees(s_acctbal / 1e6) * 3600, 6) as arc_seconds, round((1 + s_acctbal / 1e9 - 1) * 1e6, 6) as ppm from supplier")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 from pyarrow import fs
@@ -20,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     root = root.rstrip("/")
     return ("file://" + root.removeprefix("file:") if root.startswith("file:/") and not root.startswith("file://") else root) + "/survey-fixtures"
 
@@ -160,3 +164,97 @@ def nation_grid(spark: SparkSession, sf_dir: str, packed: bool) -> str:
         return encode.grid(values, packed, per_block=7, origin=(100.0, 200.0))
 
     return written(spark, sf_dir, f"nation-{packed}.grid", make)
+
+
+def repeated_survey(spark: SparkSession, sf_dir: str) -> str:
+    """Two lines of one name, and an array channel that one of them lacks."""
+
+    def make() -> bytes:
+        cells = {(0, 0): np.array([1.0, 2.0]), (0, 1): np.arange(6.0), (1, 0): np.array([5.0, 6.0, 7.0]), (2, 0): np.array([9.0])}
+        return encode.encode(encode.Survey([("mag", 5, 1), ("depths", 5, 3)], [("L1", 100), ("L1", 100), ("L2", 200)], cells))
+
+    return written(spark, sf_dir, "repeated.survey", make)
+
+
+def places_survey(spark: SparkSession, sf_dir: str) -> str:
+    """Lines whose coordinates are whole, of unequal length, without heights, and with heights of another length."""
+
+    def make() -> bytes:
+        channels = [("Easting", 5, 1), ("Northing", 5, 1), ("alt", 5, 1), ("mag", 5, 1)]
+        lengths = [(2, 2, 2, 3), (2, 1, 2, 2), (2, 2, 0, 2), (2, 2, 1, 1)]
+        cells = {(i, j): np.arange(n) + 10.0 * i + 100.0 * j for i, own in enumerate(lengths) for j, n in enumerate(own) if n}
+        return encode.encode(encode.Survey(channels, [(f"L{i}", 100) for i in range(4)], cells))
+
+    return written(spark, sf_dir, "places.survey", make)
+
+
+def odd_survey(spark: SparkSession, sf_dir: str) -> str:
+    """Places that hold something else than conforming files do: one of each kind."""
+
+    def make() -> bytes:
+        s = encode.Survey([("mag", 5, 1)], [("L100", 100)], {(0, 0): np.arange(3.0)}, users=2)
+        s.objects = [("", b"")] * 4
+        record = bytearray(encode.maker("a.gx", "A", []))
+        at = record.index(b"a.gx\0") + 5
+        record[at : at + 2] = b"\x07\0"
+        last = encode.projection("P", 11, [0.0, 1.0, None, None, 1.0, 2.0, 3.0, 4.0])
+        s.objects = [
+            (encode.handle(s, 0), encode.reg([("UNITS", "nT")], nested=bytes(record))),
+            ("crs", last),
+            ("crs2", encode.projection("Q", 77, [None] * 8)),
+            ("Database Extension Objects", struct.pack("<i", 84) + b"\0" * 16 + b"EXT\0" + b"\0" * 64),
+        ]
+        data = bytearray(encode.encode(s))
+        data[16:20] = struct.pack("<i", 9)  # a header word
+        channel = data.index(b"mag\0")
+        data[channel + 108 : channel + 110] = struct.pack("<h", 6)
+        line = data.index(b"L100\0")
+        data[line + 96 : line + 100], data[line + 104] = struct.pack("<i", 3), 0
+        return bytes(data)
+
+    return written(spark, sf_dir, "odd.survey", make)
+
+
+def broken_surveys(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Files with one thing wrong each, by what it is."""
+    page = encode.PAGE
+
+    def plain(**options) -> encode.Survey:
+        return encode.Survey([("mag", 5, 1), ("text", -4, 1)], [("L1", 100), ("L2", 100)], {(i, j): np.arange(300.0) if j == 0 else ["ab"] * 300 for i in range(2) for j in range(2)}, **options)
+
+    def patched(at: int, raw: bytes, block: int | None = None, **options) -> bytes:
+        data = bytearray(encode.encode(plain(**options)))
+        if block is not None:
+            for _ in range(block + 1):
+                start = data.index(encode.BLOCK_MAGIC, 0 if not _ else start + 4)
+            at += start
+        data[at : at + len(raw)] = raw
+        return bytes(data)
+
+    def last_block(data: bytes) -> int:
+        return data.rindex(encode.BLOCK_MAGIC)
+
+    whole, packed = encode.encode(plain()), encode.encode(plain(comp_level=2))
+    rng = np.random.default_rng(0)
+    noise = {(0, 0): rng.random(2000)}
+    zipped = encode.encode(encode.Survey([("mag", 5, 1)], [("L1", 100)], noise, comp_level=2))
+    speed = encode.encode(encode.Survey([("mag", 5, 1)], [("L1", 100)], {(0, 0): np.arange(300.0)}, comp_level=1))
+    chunk = speed.index(encode.CHUNK_MAGIC)
+    made = {
+        "bad magic": b"nothing of the kind" + whole[19:],
+        "short header": whole[:110],
+        "mid header": whole[: last_block(whole) + 20],
+        "slack": whole + b"\1" * 7,
+        "past end": whole[: last_block(whole) + 60],
+        "no pages": patched(4, struct.pack("<i", 0), block=1),
+        "no magic": patched(0, b"junk", block=3)[: last_block(whole) + page],
+        "junk pages": encode.encode(plain(junk_pages=2)),
+        "short data": patched(40, struct.pack("<i", 9000), block=3),
+        "ragged array": encode.encode(encode.Survey([("a", 5, 3)], [("L1", 100)], {(0, 0): np.arange(8.0)})),
+        "unknown type": whole.replace(b"mag" + b"\0" * 73 + struct.pack("<h", 5), b"mag" + b"\0" * 73 + struct.pack("<h", 11)),
+        "cut zlib": zipped[: zipped.index(encode.CHUNK_MAGIC) + 6000],
+        "bad zlib": packed.replace(packed[packed.index(encode.CHUNK_MAGIC) + 16 : packed.index(encode.CHUNK_MAGIC) + 26], b"\xff" * 10),
+        "bad lzrw1": speed[: chunk + 24] + b"\1\2\3\4" + speed[chunk + 28 :],
+        "unknown subtype": speed[: chunk + 8] + struct.pack("<i", 5) + speed[chunk + 12 :],
+    }
+    return {name: written(spark, sf_dir, f"broken/{name.replace(' ', '-')}.survey", lambda data=data: data) for name, data in made.items()}
