@@ -415,10 +415,10 @@ def absent_cells(spark, sf):
 
 
 @query("""with n as (select o_orderpriority as line, count(*) as n, max(length(o_orderstatus)) as w from orders group by 1)
-select channel, cast(count(*) as bigint) as lines, cast(max(n) as integer) as most_rows, cast(max(case when channel = 'status' then w end) as integer) as widest
+select channel, cast(count(*) as bigint) as lines, cast(max(n) as integer) as most_rows, cast(max(case when channel = 'status' then w else 0 end) as integer) as widest
 from n, (values ('order_key'), ('cust_key'), ('status'), ('total_price'), ('order_us')) c(channel) group by 1""")
 def channel_extents(spark, sf):
-    return Survey(spark, X.orders_survey(spark, sf, "scan_wide")).extents().select("channel", "lines", "most_rows", "widest")
+    return Survey(spark, X.orders_survey(spark, sf, "scan_wide")).extents().select("channel", "lines", "most_rows", F.coalesce("widest", F.lit(0)).alias("widest"))
 
 
 @query("select 'total_price' as channel, count(distinct o_orderpriority) as skipped from orders where o_orderpriority in ('2-HIGH', '3-MEDIUM')")
@@ -498,11 +498,11 @@ def reserved_rename(spark, sf):
     return V.renamed_reserved(names, "name", ("path", "line", "line_category", "line_slot", "fid")).select("name", "column_name")
 
 
-@query("select event_id, case when event_id % 10 > 0 then epoch_us(to_timestamp(1700000000 + event_id * 61)) end as at_us from events")
+@query("select event_id, case when event_id % 10 > 0 then epoch_us(to_timestamp(1700000000 + event_id * 61)) else -1 end as at_us from events")
 def raw_timestamps(spark, sf):
     """Seconds as blocks hold them, of which one value means none."""
     raw = F.when(F.col("event_id") % 10 > 0, 1700000000 + F.col("event_id") * 61).otherwise(-(2**31))
-    return table(spark, sf, "events").select("event_id", F.unix_micros(E.timestamp(raw)).alias("at_us"))
+    return table(spark, sf, "events").select("event_id", F.coalesce(F.unix_micros(E.timestamp(raw)), F.lit(-1)).alias("at_us"))
 
 
 @query("select event_id, cast(floor((event_id - 500) / 7.0) as bigint) as line_slot, ((event_id - 500) % 7 + 7) % 7 as channel_slot from events")
@@ -543,11 +543,11 @@ def densify_fill(spark, sf):
     return A.dense(A.stations(table(spark, sf, "events"), ["user_id"], ["event_id"]).select("user_id", "fid", "value"), "user_id", "fid", {"value": -1e32})
 
 
-@query("""with e as (select user_id, event_type, cast(ts as date) as day from events)
+@query("""with e as (select user_id, event_type, strftime(ts, '%Y-%m-%d') as day from events)
 select u.user_id, t.event_type, t.day from (select distinct user_id from e) u, (select distinct event_type, day from e) t
 where not exists (select 1 from e where e.user_id = u.user_id and e.event_type = t.event_type and e.day = t.day)""")
 def missing_cells(spark, sf):
-    rows = table(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
+    rows = table(spark, sf, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return A.missing(rows.select("user_id").distinct(), rows.select("event_type", "day").distinct(), rows, ["user_id", "event_type", "day"])
 
 
