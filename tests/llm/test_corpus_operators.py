@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -327,6 +328,40 @@ def test_bit_table(spark):
     assert all(r["may"] for r in found if r["id"] % 7 == 0) and np.mean([r["may"] for r in found if r["id"] % 7]) < 0.1
 
 
+def least_cut(sizes, room):
+    """Fewest pairs of equal texts in different shards, over all ways to deal the groups."""
+    pairs = lambda n: n * (n - 1) // 2
+
+    def most_kept(k, room):
+        if k == len(sizes):
+            return 0
+        found = []
+        for head in itertools.product(range(sizes[k] + 1), repeat=len(room) - 1):
+            dealt = (*head, sizes[k] - sum(head))
+            if min(dealt) >= 0 and all(a <= b for a, b in zip(dealt, room, strict=True)):
+                rest = most_kept(k + 1, tuple(b - a for a, b in zip(dealt, room, strict=True)))
+                if rest is not None:
+                    found.append(rest + sum(map(pairs, dealt)))
+        return max(found, default=None)
+
+    return sum(map(pairs, sizes)) - most_kept(0, tuple(room))
+
+
+@pytest.mark.parametrize("sizes", [[6, 6, 1], [3, 5, 1], [6, 4, 3, 1, 1, 1, 1, 1], [5, 4, 6, 1, 1], [7, 5, 5, 6, 1, 1, 1, 1, 1, 1]])
+def test_cut_edges_of_small_tables(spark, sizes):
+    """Cut pairs by comparing all rows; against the best of all ways. Where groups don't go in whole, fewer than shards are split."""
+    rng = random.Random(sum(sizes))
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["shard"] for r in balanced_shards.shard(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 3).collect()}
+    counts = Counter(got.values())
+    assert max(counts.values()) - min(counts[s] for s in range(3)) <= 1
+    cut = [texts[a] for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] == texts[b] and got[a] != got[b]]
+    room = [len(texts) // 3 + (s < len(texts) % 3) for s in range(3)]
+    assert len(set(cut)) < 3
+    assert least_cut([n for n in sizes if n > 1], room) <= len(cut) <= least_cut([n for n in sizes if n > 1], room) + max(n * (n - 1) // 2 for n in sizes)
+
+
 # pipeline
 
 
