@@ -613,6 +613,24 @@ def test_spans_are_chosen_best_first():
     assert some > 50
 
 
+def test_very_long_texts():
+    rng = random.Random(12)
+    model = personal_data.Model([e for t in people(rng, 100) for e in personal_data._examples(t)])
+    whole = ("no data here, at all. " * 120_000) + "write to ab.c [at] mail.example.com"  # 2.6 MB
+    assert [k for k, _, _ in model.spans(whole)[1]] == ["email"]
+    digits = "12 345 " * 3000
+    base, spans = model.spans(digits)
+    assert all(b <= c for (_, _, b), (_, c, _) in zip(spans, spans[1:], strict=False)) and set(base) <= set(spans)
+    words = np.ones(400_000, bool)
+    text = b"ab \xc3\xa9 " * 200_000
+    assert decontaminate.hit_runs(text, words) == [(0, 5 * 200_000 - 1)]
+    some = words.copy()
+    some[::2] = False
+    assert len(decontaminate.hit_runs(text, some)) == 200_000
+    long = language_mixture.Languages({"aa": ["ab abab abb aab ab"], "bb": ["cd cdcd cdd ccd cd"]}).name(["ab abab " * 400_000 + "cd " * 1000])  # 3.2 MB
+    assert long[0] == ["aa"] and {x["lang"] for x in long[2][0]} == {"aa", "bb"}
+
+
 def test_boosting_learns_a_rule():
     from surveyloom.llm.boosting import Boosted
 
