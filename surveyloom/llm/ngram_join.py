@@ -359,7 +359,7 @@ def link_blocks(items: DataFrame, order=None) -> DataFrame:
     return common.long_rows(items.select("item", "cls", "comp", held_as).repartition("item").sortWithinPartitions("item")).mapInArrow(run, "a long, b long")
 
 
-def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hot_from: int = HOT, salt_rows: int = SALT_ROWS, family_size: int = FAMILY, block: int = BLOCK) -> DataFrame:
+def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hot_from: int = HOT, salt_rows: int = SALT_ROWS, family_size: int = FAMILY, block: int = BLOCK, hot_rows: int = common.HOT_ROWS) -> DataFrame:
     """(doc_id, text_key, n, comp) for each row of ``docs``: a hash of its text, the size of its set, and its component's class, null without words."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -421,7 +421,7 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     family = components(stars.select("a", "b").union(across))
 
     def placed(labels: DataFrame) -> DataFrame:
-        found = common.join_frequent(rows, labels.select(F.col("node").alias("cls"), "label"), "cls", common.frequent(rows, "cls"), "left").select("doc_id", "text_key", "n", F.coalesce("label", "cls").alias("comp"))
+        found = common.join_frequent(rows, labels.select(F.col("node").alias("cls"), "label"), "cls", common.frequent(rows, "cls", hot_rows), "left").select("doc_id", "text_key", "n", F.coalesce("label", "cls").alias("comp"))
         out = common.materialize(found, "ngram-placed")
         handle.unpersist()
         chosen.unpersist()
@@ -492,7 +492,7 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return placed(components(edges.union(last)))
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **sizes: int) -> DataFrame:
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = common.HOT_ROWS, **sizes: int) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``.
 
     Words are what stands between space and U+0009 to U+000D after lower-casing A-Z; a set is the distinct runs of five, or
@@ -501,20 +501,20 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **size
     Rows that repeat are one class; a null id is never the smallest, and a component of null ids only has a null one. An
     empty table gives an empty result. Columns other than id and text are not read.
     """
-    placed = placed_rows(docs, text_col, id_col, **sizes)
+    placed = placed_rows(docs, text_col, id_col, hot_rows=hot_rows, **sizes)
     smallest = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return common.join_frequent(placed, smallest, "comp", common.frequent(placed, "comp"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return common.join_frequent(placed, smallest, "comp", common.frequent(placed, "comp", hot_rows), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **sizes: int) -> DataFrame:
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = common.HOT_ROWS, **sizes: int) -> DataFrame:
     """The rows of ``docs`` that stay when of each component only the row with the least id (null last), then the least text hash, does.
 
     Of rows that repeat one stays; rows without words all stay. Columns are those of ``docs``. Only rows whose id may be one
     that goes, by a bit table, are joined with the ids that go; the others pass by.
     """
-    placed = placed_rows(docs, text_col, id_col, **sizes)
-    best = placed.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"), F.count(F.lit(1)).alias("n"))
-    members = common.join_frequent(placed, best.where("n > 1"), "comp", common.frequent(placed, "comp"))
+    placed = placed_rows(docs, text_col, id_col, hot_rows=hot_rows, **sizes)
+    best = placed.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"), F.count(F.lit(1)).alias("members"))
+    members = common.join_frequent(placed, best.where("members > 1"), "comp", common.frequent(placed, "comp", hot_rows))
     gone = members.where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))))
     twice = members.where(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
     twice = twice.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(True).alias("_stays"))

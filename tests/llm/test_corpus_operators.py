@@ -64,7 +64,7 @@ def family(rng):
     return [(1000 + i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block": 4, "hot_from": 3, "salt_rows": 8, "family_size": 1}, {"block": 3, "hot_from": 1000, "family_size": 0}])
+@pytest.mark.parametrize("sizes", [{}, {"hot_rows": 2}, {"block": 4, "hot_from": 3, "salt_rows": 8, "family_size": 1}, {"block": 3, "hot_from": 1000, "family_size": 0}])
 def test_ngram_join(spark, sizes):
     docs, rows = cases.awkward(spark, 7, family(random.Random(11)))
     found = ngram_join.join(docs, **sizes).collect()
@@ -77,9 +77,10 @@ def test_ngram_join_of_nothing(spark):
     assert [tuple(r) for r in ngram_join.join(lonely).collect()] == [(1, 3, 1)]
 
 
-def test_one_of_each_component_stays(spark):
+@pytest.mark.parametrize("sizes", [{}, {"hot_rows": 2}])
+def test_one_of_each_component_stays(spark, sizes):
     docs, rows = cases.awkward(spark, 8, family(random.Random(12)))
-    kept = ngram_join.keep_one(docs)
+    kept = ngram_join.keep_one(docs, **sizes)
     assert kept.columns == docs.columns
     got = Counter((str(r["doc_id"]), r["text"]) for r in kept.collect())
     comps = defaultdict(list)
