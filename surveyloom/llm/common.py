@@ -92,7 +92,10 @@ def frequent(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | N
     """The keys that more than ``hot_rows`` rows of ``df`` have, the ``MOST_HOT`` most frequent; None if there are none. Counts are summed before the shuffle."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
     found = materialize(counts.orderBy(F.desc("n")).limit(MOST_HOT).select(key), "frequent-keys")
-    return found if found.limit(1).collect() else None
+    if found.limit(1).collect():
+        return found
+    discard(found)
+    return None
 
 
 def join_frequent(many: DataFrame, one: DataFrame, key: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:

@@ -27,9 +27,9 @@ def components(edges: DataFrame, most_rounds: int = 60, hot_rows: int = HOT_ROWS
         step = materialize(step, "steps") if large else step
         leads = frequent(step, "label", hot_rows) if large else None
         before, new = labels, materialize(join_frequent(step, jump, "label", leads).select("node", "old", F.least("label", "far").alias("label")), "labels")
-        discard(before, step)
+        discard(before, step, *([] if leads is None else [leads]))
         if not new.where("label <> old").limit(1).collect():
-            discard(both)
+            discard(both, *([] if hubs is None else [hubs]))
             return new.select("node", "label")
         labels = new
     raise RuntimeError("components did not settle")
