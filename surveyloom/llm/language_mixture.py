@@ -107,6 +107,21 @@ class Languages:
         """Log-likelihood of each word of the run in the languages of the slice."""
         return np.add.reduceat(self.table[:, languages][buckets], run.starts, axis=0).astype(np.float64)
 
+    def _among(self, run: _Run, live: np.ndarray, order: np.ndarray, held: np.ndarray | None, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words of live texts: their texts, where each text begins, and likelihoods in the text's languages of ``order``."""
+        mine = np.flatnonzero(live[run.texts][run.of])
+        own = run.texts[run.of[mine]]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+        if held is not None:
+            return own, first, held[mine[:, None], order[own]]
+        near = np.empty((len(mine), order.shape[1]))
+        if len(mine):
+            buckets, word = run.buckets(), np.repeat(np.arange(len(run.starts)), run.letters)
+            for j in range(order.shape[1]):
+                lang = order[run.texts[run.of], j]
+                near[:, j] = np.add.reduceat(self.table[buckets, lang[word]], run.starts)[mine] - top[mine]
+        return own, first, np.exp(near)
+
     def _estimate(self, texts: list[str | None], rounds: int = ROUNDS, penalty: float = PENALTY, run_bytes: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``estimate``; the mean log-probability of a trigram under the mixture (0 where nothing can be told); and how much
         more likely the set is than the best language that isn't its first one (log-likelihoods; infinite if there is none).
@@ -172,31 +187,22 @@ class Languages:
                 break
             share = np.take_along_axis(full, order[:, :size], axis=1) + 1e-9
             share /= share.sum(axis=1, keepdims=True)
+            only = self._among(runs[0], live, order[:, :size], held) if kept else None
             found = np.zeros(n)
             for step in range(rounds // 2 + 1):
+                last = step == rounds // 2
                 new, found = np.zeros_like(share), ceiling.copy()
                 for i, run in enumerate(runs):
-                    mine = np.flatnonzero(live[run.texts][run.of])
-                    if not len(mine):
+                    own, first, near = only or self._among(run, live, order[:, :size], None, tops[i])
+                    if not len(own):
                         continue
-                    own = run.texts[run.of[mine]]
-                    langs = order[own, :size]
-                    if kept:
-                        near = held[mine[:, None], langs]
-                    else:
-                        buckets = run.buckets()
-                        word = np.repeat(np.arange(len(run.starts)), run.letters)
-                        near = np.empty((len(mine), size))
-                        for j in range(size):
-                            lang = order[run.texts[run.of], j]
-                            near[:, j] = np.add.reduceat(self.table[buckets, lang[word]], run.starts)[mine] - tops[i][mine]
-                        near = np.exp(near)
                     one = share[own] * near
                     whole = np.maximum(one.sum(axis=1), 1e-300)
-                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    found[own[first]] += np.add.reduceat(np.log(whole), first)
-                    new[own[first]] += np.add.reduceat(one / whole[:, None], first, axis=0)
-                if step < rounds // 2:
+                    if last:
+                        found[own[first]] += np.add.reduceat(np.log(whole), first)
+                    else:
+                        new[own[first]] += np.add.reduceat(one / whole[:, None], first, axis=0)
+                if not last:
                     share = new / np.maximum(total, 1)[:, None]
             penalised = found - cost(size)
             took = np.flatnonzero(live & (penalised > score))
