@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
+
 # Fixed values of the format.
 CHUNK_MAGIC = bytes.fromhex("0f0efffe12345678")
 SPEED, SIZE = 1, 2
@@ -27,7 +29,7 @@ class CodecError(ValueError):
 def lzrw1(data: bytes, at: int, size: int) -> bytes:
     """``size`` bytes from the LZRW1 stream that begins at ``at``: groups of sixteen literals or copies under a control word."""
     out = bytearray()
-    end = len(data)
+    end, plain = len(data), 0
     while len(out) < size:
         if at + 2 > end:
             raise CodecError(f"input ends after {len(out)} of {size} bytes")
@@ -38,7 +40,15 @@ def lzrw1(data: bytes, at: int, size: int) -> bytes:
                 raise CodecError(f"input ends after {len(out)} of {size} bytes")
             out += data[at : at + 16]
             at += 16
+            plain += 1
+            if plain > 1:  # such groups come in runs: take as many as there are at once
+                groups = np.ndarray((min((size - len(out)) // 16, (end - at) // 18, 4096), 18), np.uint8, data, at)
+                heads = np.flatnonzero(groups[:, 0] | groups[:, 1])
+                n = int(heads[0]) if len(heads) else len(groups)
+                out += groups[:n, 2:].tobytes()
+                at += 18 * n
             continue
+        plain = 0
         if size - len(out) >= 256 and at + 32 <= end:  # neither can end within this group
             left = 16
             while left:
