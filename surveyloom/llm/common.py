@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,6 +85,12 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of queries that have ended: it does when their plans are collected, which a driver with room puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows from which a join key is frequent; the most frequent keys, so many at most, are dealt with.
 HOT_ROWS, MOST_HOT = 1 << 10, 1 << 14
 

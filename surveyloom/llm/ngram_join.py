@@ -10,14 +10,18 @@ remaining lengths can't reach the bound, or whose sets are in its component alre
 component, never all pairs. A family of bounded size is one tree, to which each of its sets is sent once. In a larger one:
 
 1. sets with an equal least hash are searched together, in blocks of bounded size, under some hash functions;
-2. blocks of components are searched in pairs, but for two blocks of the same one. After that every two sets of a family
-   are in one component or have been compared, so no link between components is missed.
+2. blocks of sets of near sizes are searched in pairs, but for two blocks of the same component and for blocks whose sizes are
+   too far apart. After that every two sets of a family are in one component, can't be linked by their sizes or have been
+   compared, so no link between components is missed. Pairs are searched in rounds, so that the sets sent to them, of which
+   there are more than the input has, never lie on disk together.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from surveyloom.llm.components import components
 WIDTH = 5
 #: n-grams that more documents than this share among their first are ordered last, the most frequent of all at the end;
 #: so many of them at most, then the bar is higher.
-HOT, MOST_HOT = 3, 1 << 20
+HOT, MOST_HOT = 3, 1 << 22
 #: Counted are so many times the n-grams that are first by hash, because what is ordered last makes room for others.
 COUNTED = 2
 #: Classes of a family that is one tree, of a block of a larger one, and n-grams of the former in all.
@@ -39,9 +43,12 @@ FAMILY, BLOCK, FAMILY_NGRAMS = 1024, 256, 1 << 21
 SALT_ROWS = 1 << 15
 SEEDS = (1, 2)
 SLICE_BYTES = 1 << 20
+#: N-grams that are packed by bucket at a time, so that a bucket's row holds many however many buckets there are.
+PACKED = 1 << 19
+#: N-grams sent to pairs of blocks in a round: so many, or this part of all that there are.
+ROUND, ROUND_SHARE = 1 << 24, 4
 MOST_BITS = 1 << 28
 _TOP, _MAYBE_BITS = np.uint64(1 << 63), 22
-_MAYBE = np.uint64((1 << _MAYBE_BITS) - 1)
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int):
@@ -64,22 +71,24 @@ class Order:
         by = np.argsort(hot)
         self.mask, self.bits, self.salt_rows = np.uint64(space - 1), np.uint64(space.bit_length() - 1), salt_rows
         self.shift = np.uint64(63) - self.bits  # room for the upper bits
-        self.hot, self.rank, self.by_rank = hot[by], by.astype(np.uint64), counts
+        self.hot, self.rank, self.by_rank = hot[by], by.astype(np.uint32), np.minimum(counts, (1 << 31) - 1).astype(np.int32)
         # Most n-grams are not frequent, which a small table tells of nearly all without a search.
-        self.maybe = np.zeros(1 << _MAYBE_BITS, bool)
-        self.maybe[self.hot & _MAYBE] = True
+        bits = max(_MAYBE_BITS, (8 * len(hot) - 1).bit_length())
+        self.few = np.uint64((1 << bits) - 1)
+        self.maybe = np.zeros(1 << bits, bool)
+        self.maybe[self.hot & self.few] = True
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         halves = hashes >> np.uint64(1)
         if not len(self.hot):
             return halves
-        own = np.flatnonzero(self.maybe[halves & self.mask & _MAYBE])
+        own = np.flatnonzero(self.maybe[halves & self.mask & self.few])
         short = halves[own] & self.mask
         at = np.minimum(np.searchsorted(self.hot, short), len(self.hot) - 1)
         found = self.hot[at] == short
         own, at = own[found], at[found]
         out = halves.copy()
-        out[own] = _TOP | self.rank[at] << self.shift | halves[own] >> self.bits
+        out[own] = _TOP | self.rank[at].astype(np.uint64) << self.shift | halves[own] >> self.bits
         return out
 
     def salts(self, keys: np.ndarray) -> np.ndarray:
@@ -162,23 +171,32 @@ def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_row
     """Counts of what is first by hash alone, and as much again, over all documents; the most frequent, ``MOST_HOT`` at most, come to the driver.
 
     An n-gram is counted by 32 bits of its hash and those that name its bucket (``buckets`` is a power of two): four bytes in its
-    bucket. Each slice sends it once, with its count if it is there more often.
+    bucket. Each run of slices sends it once, with its count if it is there more often.
     """
     space = buckets << 32
 
+    def packed_counts(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        short, n = np.unique(np.concatenate(keys) & np.uint64(space - 1), return_counts=True)
+        bucket, rest = (short & np.uint64(buckets - 1)).astype(np.int64), (short >> np.uint64(buckets.bit_length() - 1)).astype(np.uint32)
+        for several in (False, True):
+            own = (n > 1) == several
+            rows = list(_packed(bucket[own], [rest[own], n[own].astype(np.uint32)]))
+            if rows:
+                counts = [r[1] if several else b"" for _, r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([r[0] for _, r in rows], pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "keys", "counts"])
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch, "text", SLICE_BYTES):
-                sets = ngram_sets(common.text_bytes(part.column("text")))
-                keys = np.concatenate([s[: COUNTED * prefix_length(len(s))] for s in sets if len(s)] or [np.zeros(0, np.uint64)])
-                short, n = np.unique(keys & np.uint64(space - 1), return_counts=True)
-                bucket, rest = (short & np.uint64(buckets - 1)).astype(np.int64), (short >> np.uint64(buckets.bit_length() - 1)).astype(np.uint32)
-                for several in (False, True):
-                    own = (n > 1) == several
-                    rows = list(_packed(bucket[own], [rest[own], n[own].astype(np.uint32)]))
-                    if rows:
-                        counts = [r[1] if several else b"" for _, r in rows]
-                        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([r[0] for _, r in rows], pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "keys", "counts"])
+        held: list[np.ndarray] = []
+        total = 0
+        for part in (part for batch in batches for part in common.slices(batch, "text", SLICE_BYTES)):
+            own = [s[: COUNTED * prefix_length(len(s))] for s in ngram_sets(common.text_bytes(part.column("text"))) if len(s)]
+            held += own and [np.concatenate(own)]
+            total += sum(map(len, own))
+            if total >= PACKED:
+                yield from packed_counts(held)
+                held, total = [], 0
+        if held:
+            yield from packed_counts(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def summed(bucket: int, keys: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
@@ -384,30 +402,34 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     shared = frozenset(r[0] for r in twice.select("cls").collect())
     if shared:
         described = described.withColumn("cls", F.when(F.col("cls").isin(list(shared)), F.col("cls").bitwiseXOR(F.col("other"))).otherwise(F.col("cls")))
-    made = [described]  # what the last table makes superfluous
-    rows = described.select("doc_id", "text_key", "n", "cls")
+
+    def postings(known: dict[int, tuple[int, bytes]]) -> pa.RecordBatch:
+        arrays = [np.frombuffer(f, np.uint64) for _, f in known.values()]
+        lengths = np.array([len(a) for a in arrays])
+        key = np.concatenate(arrays)
+        cls = np.repeat(np.array(list(known), np.int64), lengths)
+        n = np.repeat(np.array([n for n, _ in known.values()], np.uint32), lengths)
+        place = (np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
+        times = handle.value.salts(key)
+        salt = np.where(times > 1, (wordhash.mix(cls.view(np.uint64)) % times.astype(np.uint64)).astype(np.int64), -1).astype(np.int32)
+        spot = wordhash.mix(key + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        packed = list(_packed((spot & np.uint64(buckets - 1)).astype(np.int64), [key, salt, cls, n, place], narrow=True))
+        cols = [pa.array([b for b, _ in packed], pa.int32()), *[pa.array([r[i] for _, r in packed], pa.binary()) for i in range(5)]]
+        return pa.RecordBatch.from_arrays(cols, names=["bucket", "key", "salt", "cls", "n", "place"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "key", "salt", "cls", "n", "place"]
+        known: dict[int, tuple[int, bytes]] = {}
+        total = 0
         for batch in batches:
-            known: dict[int, tuple[int, bytes]] = {}
             for n, cls, first in zip(*(batch.column(c).to_pylist() for c in ("n", "cls", "first")), strict=True):
-                if n:
-                    known[cls] = (n, first)  # copies within a batch post once
-            if not known:
-                continue
-            arrays = [np.frombuffer(f, np.uint64) for _, f in known.values()]
-            lengths = np.array([len(a) for a in arrays])
-            key = np.concatenate(arrays)
-            cls = np.repeat(np.array(list(known), np.int64), lengths)
-            n = np.repeat(np.array([n for n, _ in known.values()], np.uint32), lengths)
-            place = (np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
-            times = handle.value.salts(key)
-            salt = np.where(times > 1, (wordhash.mix(cls.view(np.uint64)) % times.astype(np.uint64)).astype(np.int64), -1).astype(np.int32)
-            spot = wordhash.mix(key + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            packed = list(_packed((spot & np.uint64(buckets - 1)).astype(np.int64), [key, salt, cls, n, place], narrow=True))
-            cols = [pa.array([b for b, _ in packed], pa.int32()), *[pa.array([r[i] for _, r in packed], pa.binary()) for i in range(5)]]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                if n and cls not in known:  # copies within a run of batches post once
+                    known[cls] = (n, first)
+                    total += len(first) // 8
+            if total >= PACKED:
+                yield postings(known)
+                known, total = {}, 0
+        if known:
+            yield postings(known)
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _by_bucket(batches, [np.uint64, np.int32, np.int64, np.uint32, np.uint32]):
@@ -416,6 +438,11 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     posted = described.select("n", "cls", "first").mapInArrow(post, "bucket int, key binary, salt binary, cls binary, n binary, place binary")
     stars = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(star, "a long, b long, key long")
     stars = common.materialize(stars.distinct(), "ngram-stars")
+    # The first n-grams are not read any more: only the rows stay.
+    rows = common.materialize(described.select("doc_id", "text_key", "n", "cls"), "ngram-rows")
+    made = [rows]  # what the last table makes superfluous
+    common.discard(described)
+    common.sweep(spark)
     dealt = stars.where("key <> 0 and a = b").select("key", "a")  # the roots of one n-gram's places are connected too
     across = dealt.join(dealt.groupBy("key").agg(F.min("a").alias("root")), "key").select("root", "a")
     family = components(stars.select("a", "b").union(across))
@@ -426,6 +453,7 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         handle.unpersist()
         chosen.unpersist()
         common.discard(*made)
+        common.sweep(spark)
         return out
 
     # The texts of classes that are in a family, from the least document of each, found by a bit table of their ids.
@@ -456,11 +484,14 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     members = wanted.select("cls", "doc_id", "text_key", "family").join(small.select("family", F.lit(True).alias("small")), "family", "left")
     mine = F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.text_key") == F.col("m.text_key"))
     whole = common.materialize(texts.alias("t").join(members.alias("m"), mine).select("cls", "family", "small", "text"), "ngram-families")
-    made += [stars, wanted, whole]
+    made += [stars, wanted]
+    common.sweep(spark)
     edges = common.materialize(link_blocks(whole.where("small").select(F.col("family").alias("item"), "cls", F.col("cls").alias("comp"), "text"), handle), "ngram-edges")
     rest = whole.where("small is null").select("cls", "family", "text")
     sets = common.materialize(common.long_rows(rest).mapInArrow(gather, "cls long, family long, keys binary, least array<long>").dropDuplicates(["cls"]), "ngram-large")
     made += [edges, sets]
+    common.discard(whole)
+    common.sweep(spark)
     large = sets.select("cls", "family")
     if not large.limit(1).collect():
         return placed(components(edges))
@@ -469,27 +500,42 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     spread = common.materialize(sets.select("family", "cls", F.posexplode("least").alias("seed", "value")), "ngram-spread")
     counts = spread.groupBy("seed", "value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     salt = F.pmod(F.xxhash64("cls", "seed"), F.ceil(F.col("m") / block))
-    likely = spread.join(counts, ["seed", "value"]).select(F.xxhash64("seed", "value", salt).alias("item"), "family", "cls", F.col("cls").alias("comp"))
-    edges = common.materialize(edges.union(link_blocks(likely.join(sets, ["family", "cls"]))), "ngram-edges")
+    likely = spread.join(counts, ["seed", "value"]).select("seed", F.xxhash64("seed", "value", salt).alias("item"), "family", "cls", F.col("cls").alias("comp"))
+    for seed in range(len(SEEDS)):
+        found = link_blocks(likely.where(F.col("seed") == seed).join(sets, ["family", "cls"]))
+        made.append(common.materialize(found, "ngram-edges"))
+        edges = edges.union(made[-1])
+        common.sweep(spark)
     labels = components(edges)
 
-    # 2: blocks of components in pairs. Small components share blocks, each whole in one.
+    # 2: blocks of sets of near sizes in pairs. A component of many sets has blocks of its own, the others share theirs.
     named = large.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("cls", "family", F.coalesce("label", "cls").alias("comp"))
-    named = common.materialize(named, "ngram-named")
-    held = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"))
-    pooled = held.where(F.col("m") < block).groupBy("family").agg(F.sum("m").alias("pool"))
-    held = held.join(pooled, "family", "left")
-    own = F.when(F.col("m") >= block, F.col("comp"))
-    named = named.join(held, ["family", "comp"])
-    place = F.when(own.isNotNull(), F.xxhash64(F.lit("own"), "comp", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / block)))).otherwise(F.xxhash64(F.lit("pool"), "family", F.pmod(F.xxhash64("comp"), F.ceil(F.col("pool") / block))))
-    named = common.materialize(named.select("cls", "family", "comp", own.alias("own"), place.alias("block")), "ngram-blocks")
-    blocks = common.materialize(named.select("family", "block", "own").distinct(), "ngram-block-list")
-    pairs = blocks.join(blocks.select("family", F.col("block").alias("other"), F.col("own").alias("other_own")), "family").where("block <= other and (own is null or other_own is null or own <> other_own)")
-    pairs = pairs.select(F.xxhash64("block", "other").alias("item"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-    last = common.materialize(link_blocks(named.select("family", "cls", "comp", "block").join(pairs, "block").join(sets.select("family", "cls", "keys"), ["family", "cls"])), "ngram-edges")
-    if not last.limit(1).collect():
+    named = common.materialize(named.join(wanted.select("cls", "n"), "cls"), "ngram-named")
+    held = named.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= block).select("family", "comp", F.col("comp").alias("own"))
+    named = named.join(held, ["family", "comp"], "left").withColumn("step", F.floor(F.log("n") / math.log(1.25)))
+    sized = named.groupBy("family", "own", "step").agg(F.count(F.lit(1)).alias("m"))
+    named = named.alias("c").join(sized.alias("s"), (F.col("c.family") == F.col("s.family")) & F.col("c.own").eqNullSafe(F.col("s.own")) & (F.col("c.step") == F.col("s.step")))
+    place = F.xxhash64("c.family", F.coalesce("c.own", F.lit(0)), F.col("c.own").isNull(), "c.step", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / block)))
+    named = common.materialize(named.select("cls", "c.family", "comp", "c.own", "n", place.alias("block")), "ngram-blocks")
+    blocks = common.materialize(named.groupBy("family", "block", "own").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("ngrams")), "ngram-block-list")
+    others = blocks.select("family", *[F.col(c).alias(f"other_{c}") for c in ("block", "own", "least", "most", "ngrams")])
+    near = "5 * least(most, other_most) >= 4 * greatest(least, other_least)"  # else no two sets of theirs are similar enough
+    pairs = blocks.join(others, "family").where("block <= other_block and (own is null or other_own is null or own <> other_own)").where(near)
+    pairs = common.materialize(pairs.select(F.xxhash64("block", "other_block").alias("item"), "block", "other_block", (F.col("ngrams") + F.col("other_ngrams")).alias("ngrams")), "ngram-pairs")
+    made += [spread, named, blocks, pairs]
+    sent, there = (df.agg(F.sum(c)).first()[0] or 0 for df, c in ((pairs, "ngrams"), (rows, "n")))
+    rounds = max(1, -(-sent // max(ROUND, there // ROUND_SHARE)))
+    ends = pairs.select("item", F.explode(F.array_distinct(F.array("block", "other_block"))).alias("block"))
+    last = []
+    for k in range(rounds):
+        asked = named.select("family", "cls", "comp", "block").join(ends.where(F.pmod("item", F.lit(rounds)) == k), "block")
+        last.append(common.materialize(link_blocks(asked.join(sets.select("family", "cls", "keys"), ["family", "cls"])), "ngram-edges"))
+        common.sweep(spark)
+    made += last
+    found = reduce(DataFrame.union, last)
+    if not found.limit(1).collect():
         return placed(labels)
-    return placed(components(edges.union(last)))
+    return placed(components(edges.union(found)))
 
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = common.HOT_ROWS, **sizes: int) -> DataFrame:

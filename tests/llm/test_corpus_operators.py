@@ -71,6 +71,27 @@ def test_ngram_join(spark, sizes):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found) == brute_components([r[:2] for r in rows])
 
 
+def test_pairs_of_blocks_are_searched_in_rounds(spark, monkeypatch):
+    """What is sent to pairs of blocks is bounded for a round, and blocks whose sizes are too far apart are no pair."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ngram_join, "ROUND", 1 << 10)
+    monkeypatch.setattr(ngram_join, "ROUND_SHARE", 1)
+    sent, search = [], ngram_join.link_blocks
+
+    def counted(items, order=None):
+        sent.append(0 if order else int(items.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0]) // 8)
+        return search(items, order)
+
+    monkeypatch.setattr(ngram_join, "link_blocks", counted)
+    rows = family(random.Random(11))
+    found = ngram_join.join(spark.createDataFrame(rows, cases.SCHEMA), block=3, hot_from=1000, family_size=0).collect()
+    want = brute_components([r[:2] for r in rows])
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found) == want
+    rounds, whole = sent[3:], sum(n for _, n, _ in want)  # after the small families' and those of the two seeds
+    assert len(rounds) > 1 and max(rounds) < 2 * whole
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.join(cases.empty(spark)).count() == 0 and ngram_join.keep_one(cases.empty(spark)).count() == 0
     lonely = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 1)], cases.SCHEMA)
