@@ -15,6 +15,7 @@ from surveyloom import sources
 from surveyloom.api import Survey
 from surveyloom.functions import cells as C
 from surveyloom.functions import expressions as E
+from surveyloom.functions.layout import PACKED_HEADER
 from surveyloom.operators import alignment as A
 from surveyloom.operators import registry as R
 from surveyloom.operators import versions as V
@@ -295,9 +296,12 @@ def catalog_admin_objects(spark, sf):
 @query("""with n as (select o_orderpriority as line, count(*) as n from orders group by 1)
 select 'stored' as kind, cast(sum(case when n * w % 16368 = 0 then 16368 else n * w % 16368 end) as bigint) as decompressed from n, (values (8), (8), (1), (8), (8)) c(w) where n * w <= 16368""")
 def catalog_chunks(spark, sf):
-    """First chunks of blocks that have one chunk only."""
-    found = load(spark, X.orders_survey(spark, sf, "scan_stored_raw", comp_level=1, speed="stored"), "survey_catalog", table="chunks")
-    return found.where("decompressed_length < 16368").groupBy("kind").agg(F.sum("decompressed_length").alias("decompressed"))
+    """First chunks of blocks that have one chunk only; a row even if there are none."""
+    path = X.orders_survey(spark, sf, "scan_stored_raw", comp_level=1, speed="stored")
+    blobs = load(spark, path, "survey_catalog", table="blobs")
+    single = blobs.where("packed_length <= 16368").select((F.col("offset") + PACKED_HEADER).alias("offset"))
+    found = load(spark, path, "survey_catalog", table="chunks").where("kind = 'stored'").join(single, "offset", "left_semi")
+    return found.agg(F.lit("stored").alias("kind"), F.sum("decompressed_length").alias("decompressed"))
 
 
 @query("""select line, line_category, cast(fid as integer) as fid, mag, mag1, mag2, cast(cl as integer) as channel_line, cast(cf as integer) as channel_fid from (values

@@ -40,3 +40,24 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert catalogue.flagship(spark, SF).count() == 5
+
+
+def made_orders(tmp_path, rows_of: dict[str, int]) -> str:
+    import duckdb
+
+    parts = " union all ".join(f"select '{p}' as p, * exclude (k) from (select *, k from '{SF}/orders.parquet', range(20) t(k) limit {n})" for p, n in rows_of.items())
+    path = tmp_path / "orders.parquet"
+    duckdb.execute(f"copy (select o_custkey, o_orderstatus, o_totalprice, o_orderdate, p as o_orderpriority, row_number() over () as o_orderkey from ({parts})) to '{path}' (format parquet)")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("rows_of", [{"a": 2046, "b": 10, "c": 2047}, {"a": 17000}, {"a": 16368}])
+def test_chunks_of_blocks_that_are_just_one_chunk_or_more(spark, tmp_path, rows_of):
+    """A block of exactly one full chunk counts; without blocks of one chunk there is still a row."""
+    import duckdb
+
+    folder = made_orders(tmp_path, rows_of)
+    got = [tuple(r) for r in catalogue.QUERIES["catalog_chunks"](spark, folder).select("kind", "decompressed").collect()]
+    c = duckdb.connect()
+    c.execute(f"create view orders as select * from '{folder}/orders.parquet'")
+    assert got == c.execute(catalogue.ORACLE_SQL["catalog_chunks"]).fetchall()
