@@ -61,3 +61,13 @@ def test_chunks_of_blocks_that_are_just_one_chunk_or_more(spark, tmp_path, rows_
     c = duckdb.connect()
     c.execute(f"create view orders as select * from '{folder}/orders.parquet'")
     assert got == c.execute(catalogue.ORACLE_SQL["catalog_chunks"]).fetchall()
+
+
+def test_surveys_of_orders_are_written_by_line(spark, tmp_path, monkeypatch):
+    """The driver never holds all orders."""
+    held = []
+    whole = type(spark.range(0)).toArrow
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda df: (held.append(t := whole(df)), t)[1])
+    folder = made_orders(tmp_path, {"a": 300, "b": 200, "c": 250})
+    assert catalogue.QUERIES["scan_lzrw1"](spark, folder).count() == 750
+    assert max(t.num_rows for t in held) == 300
