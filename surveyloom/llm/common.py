@@ -73,6 +73,7 @@ def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
     for spark, path in set(_written) - before - {(out.sparkSession, out._scratch)}:
         _written.remove((spark, path))
         _delete(spark, path)
+    sweep(out.sparkSession)
     return out
 
 
