@@ -157,6 +157,7 @@ def _scan(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
     schema = T.StructType(docs.schema.fields + T._parse_datatype_string(_FOUND).fields)
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
 
+    @common.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for held, texts in _shards(batches, text):

@@ -259,6 +259,7 @@ def identify(docs: DataFrame, model: Languages, text_col: str = "text", fit_col:
     schema = T.StructType(docs.schema.fields + extra.fields)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
+    @common.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, text_col, SLICE_BYTES):

@@ -185,6 +185,7 @@ def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_row
                 counts = [r[1] if several else b"" for _, r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([r[0] for _, r in rows], pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "keys", "counts"])
 
+    @common.gives_back
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total = 0
@@ -198,6 +199,7 @@ def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_row
         if held:
             yield from packed_counts(held)
 
+    @common.gives_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def summed(bucket: int, keys: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
             values, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -220,7 +222,8 @@ def frequent_ngrams(docs: DataFrame, buckets: int, hot_from: int = HOT, salt_row
     packed = common.long_rows(docs).mapInArrow(first, "bucket int, keys binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
     counts = common.materialize(packed.mapInArrow(count, "key long, n long"), "ngram-counts")
     bar, total = hot_from, 0
-    for n, tokens in sorted(counts.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.desc("n")).limit(MOST_HOT).toLocalIterator(), reverse=True):
+    # k different counts need k * (k + 1) / 2 occurrences, so they are few; a limit would have every task make room for as many rows as it names.
+    for n, tokens in sorted(counts.groupBy("n").agg(F.count(F.lit(1))).collect(), reverse=True):
         total += tokens
         if total > MOST_HOT:
             bar = n
@@ -349,6 +352,7 @@ def link_blocks(items: DataFrame, order=None) -> DataFrame:
     ``items``: (item, cls, comp, keys), or with the broadcast ``order`` (item, cls, comp, text).
     """
 
+    @common.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
             cls = list(rows)
@@ -386,6 +390,7 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     order = frequent_ngrams(docs.select("text"), buckets, hot_from, salt_rows)
     handle = spark.sparkContext.broadcast(order)  # MOST_HOT keys at most
 
+    @common.gives_back
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
@@ -417,6 +422,7 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         cols = [pa.array([b for b, _ in packed], pa.int32()), *[pa.array([r[i] for _, r in packed], pa.binary()) for i in range(5)]]
         return pa.RecordBatch.from_arrays(cols, names=["bucket", "key", "salt", "cls", "n", "place"])
 
+    @common.gives_back
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[int, bytes]] = {}
         total = 0
@@ -431,6 +437,7 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         if known:
             yield postings(known)
 
+    @common.gives_back
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _by_bucket(batches, [np.uint64, np.int32, np.int64, np.uint32, np.uint32]):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _stars(*columns)], names=["a", "b", "key"])
@@ -463,11 +470,13 @@ def placed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     bits = common.BitTable.of(wanted, "doc_id", MOST_BITS)
     chosen = spark.sparkContext.broadcast(bits)
 
+    @common.gives_back
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.filter(pa.array(chosen.value.may_hold(batch.column("spot").to_numpy())))
             yield pa.RecordBatch.from_arrays(held.columns[:3], names=["doc_id", "text_key", "text"])
 
+    @common.gives_back
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):

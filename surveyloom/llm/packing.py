@@ -44,6 +44,7 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 1, ca
     tail = np.array([end_id], "<u4").tobytes()
     id_type = pa.int64() if dict(docs.dtypes)["doc_id"] == "bigint" else None
 
+    @common.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = word_encoder(tokenizer_path(name)).encode, TaskContext.get().partitionId()
         made = np.zeros(capacity + 1, np.int64)

@@ -167,6 +167,29 @@ def test_frequent_keys_join_like_others(spark):
         assert got == sorted(map(repr, many.join(one, "k", how).collect()))
 
 
+def test_frequent_ngrams_make_no_room_for_as_many_rows_as_may_be_frequent(spark, monkeypatch):
+    docs = spark.createDataFrame([(" ".join(f"w{i % k}" for i in range(j, j + 9)),) for k in (3, 5, 7) for j in range(4 * k)], "text string")
+    asked, limit = [], type(docs).limit
+    monkeypatch.setattr(type(docs), "limit", lambda self, n: asked.append(n) or limit(self, n))
+    counts = Counter(int(x) for (t,) in docs.collect() for s in ngram_join.ngram_sets([t.encode()]) for x in s[: ngram_join.COUNTED * ngram_join.prefix_length(len(s))])
+    order = ngram_join.frequent_ngrams(docs, 1024, 3)
+    hot = {x & (1024 << 32) - 1: n for x, n in counts.items() if n > 3}
+    assert hot and dict(zip(order.hot.tolist(), order.by_rank[order.rank].tolist(), strict=True)) == hot
+    monkeypatch.setattr(ngram_join, "MOST_HOT", 6)  # the bar is the least count of which all fit
+    bar = min(b for b in {3, *hot.values()} if sum(n > b for n in hot.values()) <= 6)
+    fewer = ngram_join.frequent_ngrams(docs, 1024, 3)
+    assert set(fewer.hot.tolist()) == {x for x, n in hot.items() if n > bar}
+    assert max(asked, default=0) <= common.MOST_HOT  # a task that sorts makes room for twice the rows of a limit, however few there are
+
+
+def test_a_map_gives_memory_back_when_its_batches_end(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    mapped = common.gives_back(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))
+    assert next(mapped) == 2 and not given
+    assert list(mapped) == [4, 6] and given == [1]
+
+
 def test_components_of_hubs_and_chains(spark):
     rng = random.Random(8)
     edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1100)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)]
