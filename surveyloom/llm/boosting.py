@@ -5,22 +5,35 @@ from __future__ import annotations
 import numpy as np
 
 
+def _edges(values: np.ndarray, weight: np.ndarray | None, shares: np.ndarray) -> np.ndarray:
+    if weight is None:
+        return np.unique(np.quantile(values, shares))
+    by = np.argsort(values, kind="stable")
+    below = np.cumsum(weight[by])
+    return np.unique(values[by][np.minimum(np.searchsorted(below, shares * below[-1]), len(by) - 1)].astype(float))
+
+
 class Boosted:
-    """Probability of class 1. Trees are complete, of one depth; a node that isn't worth a split sends all rows left."""
+    """Probability of class 1. Trees are complete, of one depth; a node that isn't worth a split sends all rows left.
+
+    A row with a ``weight`` counts as so many.
+    """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0):
         self.depth = depth
-        share = float(np.clip(y.mean() if len(y) else 0.5, 1e-4, 1 - 1e-4))
+        share = float(np.clip(np.average(y, weights=weight) if len(y) else 0.5, 1e-4, 1 - 1e-4))
         self.base = float(np.log(share / (1 - share)))
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if not len(y) or y.min() == y.max():
             return
-        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-        binned = np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])  # bin b: above edge b - 1
+        edges = [_edges(x[:, j], weight, np.linspace(0, 1, bins + 1)[1:-1]) for j in range(x.shape[1])]
+        binned = np.column_stack([np.searchsorted(e, x[:, j], side="left").astype(np.int16) for j, e in enumerate(edges)])  # bin b: above edge b - 1
         z = np.full(len(y), self.base)
         for _ in range(trees):
             p = 1 / (1 + np.exp(-z))
             g, h = y - p, p * (1 - p)
+            if weight is not None:
+                g, h = g * weight, h * weight
             node = np.zeros(len(y), np.int64)
             feature, cut = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
             for level in range(depth):

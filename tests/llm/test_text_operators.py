@@ -550,6 +550,33 @@ def test_numbers_beside_others_are_proposed_alone():
     assert len(personal_data.proposals("1 " * 20_000)) < 20_000 * 17 and personal_data.proposals("7" * 300_000) == []
 
 
+def test_all_examples_are_learned_from(spark, monkeypatch):
+    rng = random.Random(33)
+    texts = [*people(rng, 60), "k1 k2 " + "a" * 400 + "@mail1.example.com k3", None]
+    rows = {e for t in texts for e in personal_data._examples(t or "")}
+    assert any(b - a > 400 for _, _, _, a, b in rows)  # a long span is an example too
+    seen = []
+    learn = personal_data.Model._learn
+    monkeypatch.setattr(personal_data.Model, "_learn", lambda self, v, n, *more: seen.append((v, n)) or learn(self, v, n, *more))
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts]], "text string").repartition(3)  # copies teach nothing more
+    model = personal_data.train(docs, examples=40)  # fewer than there are of most kinds and sides
+    vectors, counts = seen[-1]
+    want = Counter(personal_data.vector(*row) for row in rows)
+    assert {v.tobytes(): n for v, n in zip(vectors, counts.tolist(), strict=True)} == want and sum(want.values()) == len(rows) > 40 * 12
+    no = {k: sorted((float(model.trees.probability(np.frombuffer(v[:-2], np.uint8)[None])[0]) for v, n in want.items() for _ in range(n) if v[-2:] == b"\x00\x00" and v[0] == i), reverse=True) for i, k in enumerate(personal_data.KINDS)}
+    for kind in ("ip", "card", "phone"):  # thresholds count each counterexample of the other half
+        assert len(no[kind]) >= 20 and model.least[kind] == np.nextafter(no[kind][int(len(no[kind]) * personal_data.MOST_WRONG)], 2.0)
+
+
+def test_a_weight_is_so_many_rows():
+    from surveyloom.llm.boosting import Boosted
+
+    x = np.array([[i % 7, i % 5] for i in range(200)], float)
+    y, n = (x[:, 0] > x[:, 1]).astype(float), 1 + np.arange(200) % 3
+    many = Boosted(np.repeat(x, n, axis=0), np.repeat(y, n), np.ones(n.sum()))
+    assert np.allclose(Boosted(x, y, n.astype(float)).probability(x), many.probability(x))
+
+
 def test_thresholds_are_calibrated():
     rng = random.Random(21)
     rows = [e for t in people(rng, 400) for e in personal_data._examples(t)]
